@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import quality_rules, secret_scans
+from tidegrid.llm import quality_rules, secret_scans, url_filters
 from tidegrid.sources import table
 
 
@@ -10,16 +10,22 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.op1_query(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark, sf_dir):
+    return url_filters.op3_query(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scans(spark, sf_dir):
     return secret_scans.op5_query(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_url_filters": op3_url_filters,
     "op5_secret_scans": op5_secret_scans,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op3_url_filters": url_filters.SQL,
     "op5_secret_scans": secret_scans.sql(),
 }
