@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import quality_rules, secret_scans, sentence_pieces, url_filters
+from tidegrid.llm import decontamination, quality_rules, secret_scans, sentence_pieces, url_filters
 from tidegrid.sources import table
 
 
@@ -22,11 +22,16 @@ def op10_sentence_pieces(spark, sf_dir):
     return sentence_pieces.op10_query(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontamination.op9_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op5_secret_scans": op5_secret_scans,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL = {

@@ -24,6 +24,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All bytes but letters, digits and those of characters beyond ASCII.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -102,13 +105,13 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without blanks) of all rows, in order, and the row of each."""
+def word_spans(s: Slice, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without bytes of `between`) of all rows, in order, and the row of each."""
     n = len(s.data)
     if not n:
         e = np.empty(0, np.int64)
         return e, e, e
-    blank = _SPACE[s.data]
+    blank = between[s.data]
     word = ~blank
     first = word.copy()
     first[1:] &= blank[:-1]
@@ -143,3 +146,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[at[0]] = s[0]
     out[at[1:]] = s[1:] - (s[:-1] + n[:-1] - 1)
     return np.cumsum(out)
+
+
+def one_slice(texts: list[str]) -> Slice:
+    """The given texts as one slice, row i holding text i."""
+    col = pa.array(texts, pa.large_string())
+    return next(slices(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), col], names=["row", "text"])]), "text", 1 << 62))
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words."""
+    if len(hashes) < n:
+        return np.empty(0, U64)
+    out = hashes[: len(hashes) - n + 1].copy()
+    for k in range(1, n):
+        out = out * U64(_BASE) + hashes[k : len(hashes) - n + 1 + k]
+    return mix(out)
