@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import decontamination, quality_rules, secret_scans, sentence_pieces, url_filters
+from tidegrid.llm import decontamination, near_duplicates, quality_rules, secret_scans, sentence_pieces, url_filters
 from tidegrid.sources import table
 
 
@@ -26,12 +26,17 @@ def op9_decontamination(spark, sf_dir):
     return decontamination.op9_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_near_duplicates(spark, sf_dir):
+    return near_duplicates.op8_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
     "op5_secret_scans": op5_secret_scans,
     "op10_sentence_pieces": op10_sentence_pieces,
     "op9_decontamination": op9_decontamination,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 SQL = {
