@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import decontamination, near_duplicates, quality_rules, secret_scans, sentence_pieces, url_filters
+from tidegrid.llm import decontamination, near_duplicates, quality_rules, repeated_windows, secret_scans, sentence_pieces, url_filters
 from tidegrid.sources import table
 
 
@@ -30,6 +30,10 @@ def op8_near_duplicates(spark, sf_dir):
     return near_duplicates.op8_query(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_windows(spark, sf_dir):
+    return repeated_windows.op6_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
@@ -37,6 +41,7 @@ QUERIES = {
     "op10_sentence_pieces": op10_sentence_pieces,
     "op9_decontamination": op9_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
+    "op6_repeated_windows": op6_repeated_windows,
 }
 
 SQL = {
