@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import decontamination, near_duplicates, quality_rules, repeated_windows, secret_scans, sentence_pieces, url_filters
+from tidegrid.llm import decontamination, near_duplicates, quality_classifier, quality_rules, repeated_windows, secret_scans, sentence_pieces, toxicity, url_filters
 from tidegrid.sources import table
 
 
@@ -34,6 +34,14 @@ def op6_repeated_windows(spark, sf_dir):
     return repeated_windows.op6_query(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.op7_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality_classifier(spark, sf_dir):
+    return quality_classifier.op2_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
@@ -42,6 +50,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op8_near_duplicates": op8_near_duplicates,
     "op6_repeated_windows": op6_repeated_windows,
+    "op7_toxicity": op7_toxicity,
+    "op2_quality_classifier": op2_quality_classifier,
 }
 
 SQL = {
