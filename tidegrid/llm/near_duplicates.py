@@ -6,11 +6,14 @@ shingle that came first, and a shingle is done once its next arrival is later th
 the document. Registers agree with the probability Jaccard of two documents. BANDS bands of ROWS
 registers give buckets. Exact copies are one text throughout, named by its digest.
 
-Within a bucket each text is compared with the bucket's pivot, not with every member: pairs within a class
-add nothing. Further rounds take other pivots for texts that are not yet in their bucket's class, and the
-last compares what is still apart, pair by pair. Pairs whose one-bit registers (`bits`) put them far
-below the threshold are left out at once; the others are verified by the exact Jaccard similarity of their
-sets of shingles, at least SIMILARITY. Connected components of the verified links are the classes.
+Within a bucket each text is compared with the bucket's pivot first, not with every member, and pairs
+that are in one class by then add nothing. Members still apart in a bucket of at most SMALL are compared
+pair by pair. Larger buckets that share members form a group, which is dealt into hashed blocks of about
+TILE; a task compares two blocks by one matrix product over their shared shingles and returns only links
+that join classes, so that neither a group nor its pairs are ever in one place. Pairs whose one-bit
+registers (`bits`) put them far below the threshold are left out before texts are fetched; all others are
+verified by the exact Jaccard similarity of their sets of shingles, at least SIMILARITY. Connected
+components of the verified links are the classes.
 
 Words are runs of other than blanks. Defined cases: a null text counts as empty; texts without words are
 copies of each other only if equal; a text of under SHINGLE words has one shingle, all of it;
@@ -33,7 +36,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 #: Least share of equal one-bit registers: 0.9 is expected at the similarity, 0.5 for unlike texts.
 LEAST_BITS = 0.79
-PIVOT_ROUNDS = 3
+SMALL, TILE = 64, 384
 #: So many digests (a few MB) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _STEP = tk.U64(0xD1342543DE82EF95)
@@ -169,19 +172,80 @@ class _Texts:
         self.docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
         self.first = first
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that are similar."""
-        pairs = materialize(pairs.distinct(), "candidates")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def of(self, ids: DataFrame) -> DataFrame:
+        """i (digest) and t (text) for the digests in ids."""
         need = materialize(ids.join(self.first, "id").select("id", F.col("key").alias("k2")), "wanted")
         small = need.count() <= BROADCAST_ROWS
         docs = self.docs.withColumn("i", digest(F.col("t")))
         found = docs.join(F.broadcast(need) if small else need, (F.col("i") == F.col("id")) & F.col("k").eqNullSafe(F.col("k2")), "left_semi")
-        found = materialize(found.dropDuplicates(["i"]).select("i", "t"), "texts")
+        return materialize(found.dropDuplicates(["i"]).select("i", "t"), "texts")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that are similar."""
+        pairs = materialize(pairs.distinct(), "candidates")
+        found = self.of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         p = pairs.join(found.select(F.col("i").alias("a"), F.col("t").alias("text_a")), "a").join(found.select(F.col("i").alias("b"), F.col("t").alias("text_b")), "b")
         return materialize(exact_similarity(p).filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "links")
 
 
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of every text with their rows."""
+    rb = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["row", "_text"])
+    parts = []
+    for s in tk.slices(iter([rb]), "_text"):
+        g, row, _ = weighted(*shingles(s))
+        parts.append((g, s.rows.column(0).to_numpy()[row]))
+    return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """a, b: links within one tile that join different classes, as few as join them."""
+    table = table.combine_chunks()
+    ids, c, side = table.column("id").to_pylist(), table.column("c").to_pylist(), table.column("side").to_numpy()
+    g, row = _sets(table.column("t").combine_chunks() if isinstance(table.column("t"), pa.ChunkedArray) else table.column("t"))
+    size = np.bincount(row, minlength=len(ids))
+    _, at, many = np.unique(g, return_inverse=True, return_counts=True)
+    keep = many[at] > 1
+    at, row = np.unique(at[keep], return_inverse=True)[1], row[keep]
+    m = np.zeros((len(ids), int(at.max()) + 1 if len(at) else 1), np.float32)
+    m[row, at] = 1
+    left = np.flatnonzero(side <= 0)
+    right = np.flatnonzero(side >= 0) if (side != 0).any() else left
+    both = m[left] @ m[right].T
+    x, y = np.nonzero(both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both) - 1e-3)
+    shared = both[x, y]
+    x, y = left[x], right[y]
+    ok = (x != y) & (shared.astype(np.float64) / np.maximum(1, size[x] + size[y] - shared.astype(np.float64)) >= SIMILARITY)
+    parent: dict = {k: k for k in c}
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = []
+    for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+        p, q = root(c[i]), root(c[j])
+        if p != q:
+            parent[p] = q
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pa.table({"a": pa.array([k[0] for k in out], pa.binary()), "b": pa.array([k[1] for k in out], pa.binary())})
+
+
+def _tiled(group: DataFrame, classes_: DataFrame, texts: _Texts) -> DataFrame:
+    """Links between classes within each group (id, g), block against block."""
+    blocks = group.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    k = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = group.join(blocks, "g").withColumn("k", k).join(classes_, "id")
+    rows = rows.join(texts.of(group.select("id")), F.col("id") == F.col("i"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("k", "o"), F.greatest("k", "o")
+    side = F.when(F.col("k") == F.col("o"), 0).when(F.col("k") < F.col("o"), -1).otherwise(1)
+    rows = rows.select("g", lo.alias("lo"), hi.alias("hi"), "id", "c", side.alias("side"), "t")
+    return materialize(rows.groupBy("g", "lo", "hi").applyInArrow(lambda t: _tile(t), "a binary, b binary"), "links")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, id (digest of the text), class_id (least key of the class), kept_id (digest of that row): a row per input row."""
     rows = materialize(_signed(docs, key, text), "signatures")
@@ -200,21 +264,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return x.join(bit.alias("y"), (F.col("p.b") == F.col("y.id")) & _alike("x", "y")).select("p.a", "p.b")
 
     links = texts.verified(candidates(shared.filter(F.col("id") != F.col("p")).select(F.col("p").alias("a"), F.col("id").alias("b"))))
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        cc = materialize(connected_components(links, "a", "b"), "components")
-        now = shared.select("h", "id").join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-        torn = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("p"), F.min_by("c", F.xxhash64("id", F.lit(turn))).alias("pc")).filter(F.col("lo") != F.col("hi"))
-        now = materialize(now.join(torn, "h").select("h", "id", "c", "p", "pc"), "torn")
-        if now.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            pairs = candidates(now.filter(F.col("c") != F.col("pc")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")))
-        else:
-            wide = now.select("h", "id", "c").join(bit, "id")
-            pairs = wide.alias("x").join(wide.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & _alike("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        links = links.unionByName(texts.verified(pairs))
-        if turn == PIVOT_ROUNDS:
-            cc = materialize(connected_components(links, "a", "b"), "components")
+    cc = materialize(connected_components(links, "a", "b"), "components")
+    now = shared.select("h", "id").join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    torn = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min("id").alias("p")).filter(F.col("lo") != F.col("hi"))
+    torn = materialize(now.join(torn.select("h", "n", "p"), "h").select("h", "id", "c", "n", "p"), "torn")
+    more = []
+    large = torn.filter(F.col("n") > SMALL)
+    group = materialize(connected_components(large.select("id", "p"), "id", "p").toDF("id", "g"), "groups")
+    if not group.isEmpty():
+        more.append(_tiled(group, torn.select("id", "c").distinct(), texts))
+    wide = torn.filter(F.col("n") <= SMALL).select("h", "id", "c").join(bit, "id").join(group, "id", "left")
+    apart = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & ~F.coalesce(F.col("x.g") == F.col("y.g"), F.lit(False)) & _alike("x", "y")
+    wide = materialize(wide, "small-buckets")
+    pairs = wide.alias("x").join(wide.alias("y"), apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    more.append(texts.verified(pairs))
+    for found in more:
+        links = links.unionByName(found)
+    cc = materialize(connected_components(links, "a", "b"), "components")
     by_text = first.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     by_text = materialize(by_text.select("id", "key", "c"), "texts-classes")
     least = by_text.groupBy("c").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "id")).alias("least"))
