@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegrid.llm import decontamination, near_duplicates, quality_classifier, quality_rules, repeated_windows, secret_scans, sentence_pieces, toxicity, url_filters
+from tidegrid.llm import decontamination, lm_scoring, near_duplicates, quality_classifier, quality_rules, repeated_windows, secret_scans, sentence_pieces, toxicity, url_filters
 from tidegrid.sources import table
 
 
@@ -42,6 +42,10 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.op2_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark, sf_dir):
+    return lm_scoring.op4_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_url_filters": op3_url_filters,
@@ -52,6 +56,7 @@ QUERIES = {
     "op6_repeated_windows": op6_repeated_windows,
     "op7_toxicity": op7_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_lm_scoring": op4_lm_scoring,
 }
 
 SQL = {

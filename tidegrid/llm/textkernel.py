@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 4 << 20
+SLICE_ROWS = 30_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -68,7 +69,7 @@ class Slice:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[Slice]:
-    """Cut batches into slices of about `limit` bytes; a null text counts as empty."""
+    """Cut batches into slices of about `limit` bytes and at most SLICE_ROWS rows; a null text counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -77,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
         col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
         col = pc.fill_null(col, "")
         size = pc.binary_length(col).to_numpy(zero_copy_only=False)
-        cut = np.cumsum(size) // limit
+        cut = np.cumsum(size + limit / SLICE_ROWS) // limit
         edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [len(col)]])
         others = batch.select([n for n in batch.schema.names if n != text])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
