@@ -15,7 +15,8 @@ an anchor per 18 bytes or so.
 3. Those documents' texts are read again; an anchor that is told is sent with the bytes its windows cover.
 4. Per bucket of anchors all windows are sorted by eight-byte digits, group by group, until WINDOW bytes
    are equal; a window whose group holds a smaller id is removed. An anchor with over HOT occurrences is
-   not collected: its windows are grouped one by one by a digest, combined before the exchange.
+   not collected: its equal contexts are combined before they are exchanged, and only the first of each
+   goes on. If over HOT are left, their windows are grouped one by one by a digest, combined likewise.
 5. A document's ranges meet by its id.
 
 Defined cases: a null text counts as empty; texts under WINDOW bytes stay whole; a null id counts as the
@@ -29,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm import textkernel as tk
@@ -275,6 +276,20 @@ def _hot_ranges(contexts: DataFrame) -> DataFrame:
     return w.join(low, "w").filter(F.col("key") > F.col("low")).select("key", "did", "start", (F.col("start") + WINDOW).alias("end"))
 
 
+def _frequent(contexts: DataFrame) -> DataFrame:
+    """h of anchors with over HOT contexts."""
+    return materialize(contexts.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot-anchors")
+
+
+def _split(contexts: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts of other anchors, and of hot ones if there are any."""
+    many = hot.count()
+    if not many:
+        return contexts, None
+    hot = F.broadcast(hot) if many <= BROADCAST_ROWS else hot
+    return contexts.join(hot, "h", "left_anti").select(*contexts.columns), contexts.join(hot, "h", "left_semi").select(*contexts.columns)
+
+
 class Rows:
     """What the plan needs of the input: key, did (hash of the text), n_bytes and sha of every row, and which rows are whole copies."""
 
@@ -310,24 +325,24 @@ def removed_ranges(rows: Rows) -> DataFrame:
     told = _send(rows.single, buckets).groupBy("bucket").applyInArrow(_tell, "key bigint, did bigint, anchor bigint")
     told = materialize(told.groupBy("key", "did").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     ctx = materialize(_contexts(rows.texts_of(told, ["anchors"]).select("key", "did", "anchors", "_text"), buckets), "contexts")
-    hot = materialize(ctx.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot-anchors")
-    cold = ctx.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "h", "left_anti")
+    hot = _frequent(ctx)
+    ranges = []
+    cold, often = _split(ctx, hot)
+    if often is not None:
+        # Of equal contexts, those with the least key go on; the others lose all their bytes.
+        low = often.groupBy("h", "lead", "ctx").agg(F.min("key").alias("low"))
+        both = materialize(often.join(low, ["h", "lead", "ctx"]), "hot-contexts")
+        ranges.append(both.filter(F.col("key") > F.col("low")).select("key", "did", F.col("at").alias("start"), (F.col("at") + F.length("ctx")).alias("end")))
+        least = both.filter(F.col("key") == F.col("low")).drop("low").select(*ctx.columns)
+        some, very = _split(least, _frequent(least))
+        cold = cold.unionByName(some)
+        if very is not None:
+            ranges.append(_hot_ranges(very))
     parts = max(1, ctx.count() // CONTEXTS_PER_BUCKET)
-    ranges = cold.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _RANGE)
-    if not hot.isEmpty():
-        ranges = ranges.unionByName(_hot_ranges(ctx.join(F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot, "h", "left_semi")))
-    return materialize(ranges.groupBy("key", "did").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "ranges")
-
-
-def merged(spans: Column) -> Column:
-    """Overlapping and touching spans joined."""
-    start = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(spans, start, step)
+    out = cold.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _RANGE)
+    for more in ranges:
+        out = out.unionByName(more)
+    return materialize(out.groupBy("key", "did").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "ranges")
 
 
 def _cut(batches):
