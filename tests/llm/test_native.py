@@ -1,0 +1,95 @@
+"""Operators 1, 3 and 5 against their SQL."""
+
+import re
+
+import duckdb
+from conftest_llm import same_rows
+
+from tidegrid.llm import components, quality_rules, secret_scans, url_filters
+
+
+def test_quality_rules_match_sql(hard, sql):
+    cols = ["doc_id", "lang", "source", "text"]
+    same_rows(quality_rules.op1_query(hard), sql(quality_rules.SQL, documents=hard.select(cols)))
+
+
+def test_quality_rules_of_nothing(nothing, nameless):
+    assert quality_rules.op1_query(nothing).count() == 0
+    assert quality_rules.op1_query(nameless).count() == nameless.count()
+
+
+def test_quality_stage_keeps_clean_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = quality_rules.stage(docs)
+    assert kept.schema == docs.schema
+    ids = {r[0] for r in kept.select("doc_id").collect()}
+    labels = duckdb.connect().execute(f"SELECT doc_id, quality, text FROM '{d}/labels.parquet' JOIN '{d}/documents.parquet' USING (doc_id)").fetchall()
+    clean = [i for i, q, t in labels if q == 1 and len(t.split()) >= 50]
+    junk = [i for i, q, _ in labels if q == 0]
+    assert sum(i in ids for i in clean) >= 0.98 * len(clean)
+    assert sum(i in ids for i in junk) <= 0.05 * len(junk)
+
+
+def test_small_groups_use_their_language(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60)), "en", "big", 1) for i in range(300)] + [(999, "### $$$ %%% " + " ".join(f"v{k}" for k in range(57)), "en", "tiny", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert 999 not in {r[0] for r in quality_rules.op1_query(docs).filter("kept").select("doc_id").collect()}
+
+
+def test_secret_scans_match_sql(hard, sql):
+    same_rows(secret_scans.op5_query(hard), sql(secret_scans.sql(), documents=hard.select("doc_id", "text")))
+
+
+def test_secret_spans_are_those_of_python(hard):
+    got = {(r.doc_id, r.spans) for r in secret_scans.op5_query(hard).collect()}
+    for r in hard.select("doc_id", "text").collect():
+        t = r.text or ""
+        base = [(m.start(), 0, m.end()) for m in re.finditer(secret_scans.ASSIGN, t) if len(m[2]) >= 6]
+        base += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        every = sorted(base + [(m.start(), 3, m.end()) for m in re.finditer(secret_scans.CANDIDATE, t) if secret_scans.ratio(m[0]) >= max(secret_scans.LEAST_TOTAL, secret_scans.LEAST_EACH * (len(m[0]) - 1)) and not any(a < m.end() and m.start() < b for a, _, b in base)])
+        assert (r.doc_id, ",".join(f"{secret_scans.KINDS[k]}:{a}:{b}" for a, k, b in every)) in got
+
+
+def test_markov_tells_random_from_ordinary():
+    held_out = secret_scans.labelled_samples(6000)[8000:]
+    right = sum((secret_scans.ratio(s) >= max(secret_scans.LEAST_TOTAL, secret_scans.LEAST_EACH * (len(s) - 1))) == bool(y) for s, y in held_out if len(s) >= 20)
+    assert right >= 0.93 * sum(len(s) >= 20 for s, _ in held_out)
+
+
+def test_redaction(hard, nothing):
+    out = secret_scans.stage(hard)
+    assert out.columns == hard.columns
+    assert secret_scans.stage(nothing).count() == 0
+    rows = {r.doc_id: r for r in out.collect()}
+    text = rows[19 * 3 + 1].text
+    assert "24be" not in text and "AKIA" not in text and text.endswith("and [SECRET]") and rows[19 * 3 + 1].n_chars == len(text)
+    assert rows[1].text is None and rows[22].text == next(r.text for r in hard.collect() if r.doc_id == 22)
+
+
+PAGES = [
+    (1, "http://a.example.net/fr/1", "x"), (2, "http://b.org/x", '<link rel="canonical" href="http://a.example.net/fr/1">'),
+    (3, "http://c.org/y#z", "<link href='http://b.org/x' rel=canonical>"), (4, "http://d.org/q?a=1", '<META http-equiv="refresh" content="0; url=http://c.org/y">'),
+    (5, "http://e.org/", '<link rel="canonical" href="/self">'), (6, "http://e.org/self", None), (7, None, None), (8, "nohost", "x"), (None, "http://n.org", ""),
+    (9, "http://f.org/", '<link rel="canonical" href="http://z.net/es/1"><meta http-equiv=refresh content="0;url=http://k.com/1">'), (10, "http://z.net/es/1", ""),
+    (11, "http://X.EXAMPLE.com/en/7?x", ""), (11, "http://X.EXAMPLE.com/en/7?x", ""), (12, "http://foo.com", ""), (13, "http://f.org/#b", ""),
+    (14, "http://www.example.com/en/", ""), (15, "http://notexample.com/en/", ""), (16, "http://example.net:80/es/", ""), (17, "://", ""),
+]
+
+
+def test_url_filters_match_sql(spark, sql):
+    pages = spark.createDataFrame([(*r, 1, "z") for r in PAGES], "page_id long, url string, html string, host int, doc string")
+    same_rows(url_filters.op3_query(pages), sql(url_filters.SQL, pages=pages.select("page_id", "url", "html")))
+    verdicts = {r.page_id: r.verdict for r in url_filters.op3_query(pages).collect()}
+    assert [verdicts[k] for k in (2, 3, 4, 5, 9, 15)] == ["block", "block", "block", "allow", "allow", "allow"]
+    assert url_filters.op3_query(pages.limit(0)).count() == 0
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (1, 1), (None, 2), (8, 7)], "src int, dst int")
+    got = {r.node: r.component for r in components.connected_components(e).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "src int, dst int")
+    assert {r.component for r in components.connected_components(chain).collect()} == {0}
+    assert components.connected_components(e.limit(0)).count() == 0

@@ -146,7 +146,8 @@ def stage(docs: DataFrame) -> DataFrame:
     new = F.when(F.col("doc.text").isNotNull(), redacted(F.col("text"), F.col("spans")))
     kinds = dict(docs.dtypes)
     cols = [new.alias(c) if c == "text" else F.length(new).cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
-    return r.select(*cols)
+    # Inside a struct: beside each other, a lambda would take the new `text` for the scanned one.
+    return r.select(F.struct(*cols).alias("row")).select("row.*")
 
 
 def _sql() -> str:
