@@ -7,7 +7,7 @@ exactly the repeated windows.
 
 Plan. Each window is named by its anchor, the run of GRAM bytes in it with the least hash (leftmost of
 equals): equal windows have equal anchors at equal offsets, and neighbours mostly share one, so a text has
-an anchor per 18 bytes or so.
+an anchor per 14 bytes or so.
 1. Whole copies of a text with a smaller id go at once (digest, least id).
 2. Anchors of the other texts are packed by bucket, six bytes each; an anchor that several documents of a
    slice have is sent once. Per bucket those that occur in more than one document are told to their
@@ -37,16 +37,29 @@ from tidegrid.llm import textkernel as tk
 from tidegrid.session import materialize
 
 WINDOW = 50
-GRAM = 16
+GRAM = 24
 PIECE = 1 << 23
 ANCHORS_PER_BUCKET = 400_000
-CONTEXTS_PER_BUCKET = 40_000
+CONTEXTS_PER_BUCKET = 20_000
 HOT = 5_000
 BROADCAST_ROWS = 200_000
 _POS = tk.U64((1 << 24) - 1)
 _MULT = 0xD6E8FEB86659FD93
 
 
+def _gram_hash(data: np.ndarray) -> np.ndarray:
+    """Polynomials of all runs of GRAM bytes, put together from runs of 1, 2, 4, ... bytes."""
+    h, step, out, have = tk._BYTES[data], 1, None, 0
+    while True:
+        if GRAM & step:
+            out = h if out is None else out[: len(data) - have - step + 1] * tk.U64(pow(_MULT, step, 1 << 64)) + h[have : len(data) - step + 1]
+            have += step
+        if have == GRAM:
+            return out
+        h = h[:-step] * tk.U64(pow(_MULT, step, 1 << 64)) + h[step:]
+        step *= 2
+
+
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By anchor, in order: its hash, its row, its place, and the first and number of the windows it names. At most 2**24 bytes."""
     n = len(data)
@@ -54,11 +67,7 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     long = np.flatnonzero(ends - starts >= WINDOW)
     if not len(long):
         return none.astype(np.uint64), none, none, none, none
-    h, step = tk._BYTES[data], 1
-    while step < GRAM:
-        h = h[:-step] * tk.U64(pow(_MULT, step, 1 << 64)) + h[step:]
-        step *= 2
-    h = tk.mix(h)
+    h = tk.mix(_gram_hash(data))
     m = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
     reach, want = 1, WINDOW - GRAM + 1
     while reach * 2 <= want:
@@ -298,7 +307,7 @@ class Rows:
         k = F.coalesce(F.col(key).cast("bigint"), F.lit(2**63 - 1))
         self.docs = docs.select(k.alias("key"), F.xxhash64(t).alias("did"), F.unhex(F.md5(t)).alias("id"), t.alias("_text"))
         self.rows = materialize(docs.select(F.col(key).alias("own"), k.alias("key"), F.xxhash64(t).alias("did"), F.unhex(F.md5(t)).alias("id"), F.octet_length(t).cast("bigint").alias("n_bytes"), F.sha2(t, 256).alias("sha")), "rows")
-        first = self.rows.groupBy("id").agg(F.min("key").alias("first"))
+        first = materialize(self.rows.groupBy("id").agg(F.min("key").alias("first")), "first")  # read back, so that AQE can split hot copies
         self.rows_first = self.rows.join(first, "id").withColumn("copy", F.col("key") > F.col("first")).drop("first")
         self.copies = materialize(self.rows_first.filter("copy").select("key", "did").distinct(), "copies")
         few = self.copies.count() <= BROADCAST_ROWS
@@ -330,7 +339,8 @@ def removed_ranges(rows: Rows) -> DataFrame:
     cold, often = _split(ctx, hot)
     if often is not None:
         # Of equal contexts, those with the least key go on; the others lose all their bytes.
-        low = often.groupBy("h", "lead", "ctx").agg(F.min("key").alias("low"))
+        often = materialize(often, "hot-rows")
+        low = materialize(often.groupBy("h", "lead", "ctx").agg(F.min("key").alias("low")), "hot-least")
         both = materialize(often.join(low, ["h", "lead", "ctx"]), "hot-contexts")
         ranges.append(both.filter(F.col("key") > F.col("low")).select("key", "did", F.col("at").alias("start"), (F.col("at") + F.length("ctx")).alias("end")))
         least = both.filter(F.col("key") == F.col("low")).drop("low").select(*ctx.columns)
@@ -381,3 +391,19 @@ def op6_query(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         F.when(whole, F.lit(1)).when(F.col("copy"), F.lit(0)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).when(F.col("copy"), F.col("sha")).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
+
+
+SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT r, k, p, substr(x, 2 * p + 1, {2 * WINDOW}) AS s FROM (SELECT r, k, x, unnest(range(0, length(x) // 2 - {WINDOW - 1})) AS p FROM d WHERE length(x) >= {2 * WINDOW})),
+    f AS (SELECT s, min(k) AS first FROM w GROUP BY s),
+    g AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w JOIN f USING (s) WHERE k > first),
+    i AS (SELECT r, p, count_if(before IS NULL OR p > before + {WINDOW}) OVER (PARTITION BY r ORDER BY p) AS island FROM g),
+    s AS (SELECT r, min(p) AS a, max(p) + {WINDOW} AS b FROM i GROUP BY r, island),
+    t AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM s),
+    e AS (SELECT r, any_value(doc_id) AS doc_id, any_value(x) AS x, sum(b - a) AS removed, count(a) AS spans, max(b) AS last,
+                 string_agg(substr(x, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept
+          FROM d LEFT JOIN t USING (r) GROUP BY r)
+    SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, spans AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM e"""

@@ -8,6 +8,7 @@ of a string is the same in every slice and task.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 SLICE_ROWS = 30_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -68,6 +69,14 @@ class Slice:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[Slice]:
     """Cut batches into slices of about `limit` bytes and at most SLICE_ROWS rows; a null text counts as empty."""
     for batch in batches:
@@ -87,6 +96,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
             raw = part.buffers()[2]
             data = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else np.empty(0, np.uint8)
             yield Slice(others.slice(a, b - a), data, offs[:-1] - offs[0], offs[1:] - offs[0])
+        give_back()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
