@@ -73,23 +73,32 @@ def ratio(s: str) -> int:
 
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+BLOCK = 256
 
 
-def _located(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of a kind, in order. A first look for any match spares most texts the rest."""
-    rx = F.lit(pattern)
-    hits = F.regexp_extract_all(text, rx, F.lit(0))
+def _matched(text: Column, pattern: str) -> Column:
+    """Matches with the length of the gap before each, and the gap after the last; null without a match, which a first look finds."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))  # one gap more than hits: the last has no hit
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.when(text.rlike(pattern), F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"))))
+
+
+def _located(both: Column, kind: int, keep) -> Column:
+    """Spans of a kind, in order, from a column of _matched."""
+    length = lambda x: x["g"] + F.coalesce(F.length(x["h"]), F.lit(0))
 
     def step(acc, x):
         at = acc["at"] + x["g"]
-        end = at + F.coalesce(F.length(x["h"]), F.lit(0))
+        end = acc["at"] + length(x)
         one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(x["h"].isNotNull() & keep(x["h"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    # An array that grows by one is copied each time: blocks keep texts with very many matches from costing their square.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / BLOCK).cast("int")), lambda k: F.slice(both, k * BLOCK + 1, F.lit(BLOCK)))
+    sizes = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + length(y)))
+    bases = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    spans = F.zip_with(blocks, F.slice(bases, F.lit(1), F.size(blocks)), lambda x, at: F.aggregate(x, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"]))
+    return F.when(both.isNotNull(), F.flatten(spans)).otherwise(F.array().cast(SPAN))
 
 
 def _random(s: Column) -> Column:
@@ -101,16 +110,20 @@ def _random(s: Column) -> Column:
 
 def scan(docs: DataFrame, carry: Column, text: str = "text") -> DataFrame:
     """doc (the carried struct), text, base and spans: arrays of (start, kind index, end), ordered by start, then kind."""
-    t = F.col("text")
     a = docs.select(carry.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    b = a.select(
+    m = a.select("doc", "text", *[_matched(F.col("text"), p).alias(f"m{k}") for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))])
+    b = m.select(
         "doc", "text",
-        _located(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6).alias("s0"),
-        _located(t, ACCESS, 1, lambda h: F.lit(True)).alias("s1"),
-        _located(t, HEX, 2, lambda h: F.lit(True)).alias("s2"),
-        _located(t, CANDIDATE, 3, _random).alias("s3"),
+        _located(F.col("m0"), 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6).alias("s0"),
+        _located(F.col("m1"), 1, lambda h: F.lit(True)).alias("s1"),
+        _located(F.col("m2"), 2, lambda h: F.lit(True)).alias("s2"),
+        _located(F.col("m3"), 3, _random).alias("s3"),
     )
     c = b.select("doc", "text", F.sort_array(F.concat("s0", "s1", "s2")).alias("base"), "s3")
+    # Candidates that are base spans go by hash, so that only others are held against every base span.
+    place = lambda spans: F.transform(spans, lambda x: F.call_function("shiftleft", x["start"].cast("bigint"), F.lit(32)) + x["end"])
+    others = F.transform(F.array_except(place("s3"), place("base")), lambda x: F.struct(F.call_function("shiftright", x, F.lit(32)).cast("int").alias("start"), F.lit(3).alias("kind"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("end")))
+    c = c.select("doc", "text", "base", others.alias("s3"))
     free = F.filter("s3", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     return c.select("doc", "text", "base", F.sort_array(F.concat("base", free)).alias("spans"))
 
