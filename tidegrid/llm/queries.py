@@ -63,4 +63,6 @@ SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "op3_url_filters": url_filters.SQL,
     "op5_secret_scans": secret_scans.sql(),
+    "op6_repeated_windows": repeated_windows.SQL,
+    "op8_near_duplicates": near_duplicates.SQL,
 }
