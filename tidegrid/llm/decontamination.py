@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from tidegrid.llm import textkernel as tk
 
 K1, B = 1.2, 0.75
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 FREQUENT = 0.6
-BLOCK = 4
+BLOCK = 2
 STRIDE = 64
 PART_BYTES = 8 << 20
 
