@@ -126,7 +126,8 @@ def corpus(counts: DataFrame, top: int = TOP) -> Corpus:
     """What all tasks need to know. The histogram of counts gives the least count with at most `top` tokens above."""
     n, v, every = counts.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum("every")).first()
     least, have = 1, 0
-    for c, k in sorted(map(tuple, counts.groupBy("every").count().filter("every > 1").collect()), reverse=True):
+    # Each count has one token at least, so the first `top` counts are enough.
+    for c, k in map(tuple, counts.groupBy("every").count().filter("every > 1").orderBy(F.desc("every")).limit(top + 1).collect()):
         if have + k > top:
             least = c + 1
             break
