@@ -4,9 +4,9 @@ Method. Test items are indexed by BM25 with postings in item order and a maximum
 BLOCK items. An impact is divided by its item's score against itself, so that a passage with the whole
 item scores 1 and one threshold serves items of every length. Every document is read as overlapping
 passages, long enough for any item to lie in one, and each passage is a query. A first look applies the
-pivot test of WAND to all passages of a slice at once: frequent terms, chosen so that in no item
-they reach more than FREQUENT of the threshold together, are bounded per block, the rest add their block maxima, and a passage without a
-block that can reach the threshold needs no query. The others run block-max WAND, which returns all items
+pivot test of WAND to all passages of a slice at once: frequent terms, chosen so that in no item they
+reach more than FREQUENT of the threshold together, are bounded per block, the rest add their block
+maxima, and a passage without a block that can reach the threshold needs no query. The others run block-max WAND, which returns all items
 at or above the threshold. Those are verified: of the item's question (all but its last sentence)
 and answer (the last) at least OVERLAP of the five-word shingles (or of the whole, if shorter) must
 occur in the passage.
