@@ -253,6 +253,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sig = rows.groupBy("id").agg(*[F.first(c).alias(c) for c in ("b0", "b1", "b2")])
     member = rows.select(F.explode("buckets").alias("h"), "id").distinct()
     pivot = member.groupBy("h").agg(F.min("id").alias("p"), F.max("id").alias("last")).filter(F.col("p") != F.col("last")).select("h", "p")
+    pivot = materialize(pivot, "pivots")  # read back, so that AQE can split the join's hot buckets
     shared = materialize(member.join(pivot, "h"), "buckets")
     keys = shared.select("id").distinct()
     bit = materialize(keys.join(sig, "id"), "bits")
@@ -267,7 +268,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     cc = materialize(connected_components(links, "a", "b"), "components")
     now = shared.select("h", "id").join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     torn = now.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min("id").alias("p")).filter(F.col("lo") != F.col("hi"))
-    torn = materialize(now.join(torn.select("h", "n", "p"), "h").select("h", "id", "c", "n", "p"), "torn")
+    torn = materialize(torn.select("h", "n", "p"), "torn-buckets")
+    torn = materialize(now.join(torn, "h").select("h", "id", "c", "n", "p"), "torn")
     more = []
     large = torn.filter(F.col("n") > SMALL)
     group = materialize(connected_components(large.select("id", "p"), "id", "p").toDF("id", "g"), "groups")
@@ -284,7 +286,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     by_text = first.join(cc.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     by_text = materialize(by_text.select("id", "key", "c"), "texts-classes")
     least = by_text.groupBy("c").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "id")).alias("least"))
-    named = by_text.join(least, "c").select("id", F.col("least.key").alias("class_id"), F.col("least.id").alias("kept_id"))
+    named = by_text.join(materialize(least, "least"), "c").select("id", F.col("least.key").alias("class_id"), F.col("least.id").alias("kept_id"))
     return rows.select(F.col("key").alias(key), "id").join(named, "id")
 
 
@@ -301,3 +303,17 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op8_query(docs: DataFrame) -> DataFrame:
     """doc_id, class_id."""
     return classes(docs).select("doc_id", "class_id")
+
+
+SQL = f"""
+    WITH RECURSIVE tx AS (SELECT coalesce(text, '') AS t, min(doc_id) AS k FROM documents GROUP BY ALL),
+    w AS (SELECT k, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM tx),
+    s AS (SELECT DISTINCT k, ws[p : p + {SHINGLE - 1}] AS g FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
+    n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+    p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.k < b.k GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON a = x.k JOIN n y ON b = y.k WHERE c / (x.n + y.n - c) >= CAST({SIMILARITY} AS DOUBLE)),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+    c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+    SELECT d.doc_id, least(tx.k, coalesce(c.least, tx.k)) AS class_id
+    FROM documents d JOIN tx ON coalesce(d.text, '') = tx.t LEFT JOIN c ON c.a = tx.k"""
