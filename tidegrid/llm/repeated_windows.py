@@ -38,6 +38,8 @@ from tidegrid.session import materialize
 
 WINDOW = 50
 GRAM = 24
+#: Larger slices send fewer anchors that several documents share.
+SLICE = 2 << 20
 PIECE = 1 << 23
 ANCHORS_PER_BUCKET = 400_000
 CONTEXTS_PER_BUCKET = 20_000
@@ -110,7 +112,7 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         turn = 0
-        for s in tk.slices(batches, "_text"):
+        for s in tk.slices(batches, "_text", SLICE):
             key, did = s.rows.column(0).to_numpy(), s.rows.column(1).to_numpy()
             got = [(code(h, buckets), rows[row]) for data, rows, _, a, b in pieces(s) for h, row, *_ in [anchors(data, a, b)]]
             c, row = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
@@ -176,7 +178,7 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
     """h, key, did, at, lead, ctx: by anchor that is told, where its first window starts, how far the anchor is from there, and the bytes of its windows."""
 
     def run(batches):
-        for s in tk.slices(batches, "_text"):
+        for s in tk.slices(batches, "_text", SLICE):
             key, did, lists = s.rows.column(0), s.rows.column(1), s.rows.column(2)
             of = np.repeat(np.arange(len(s)), [len(x) for x in lists])
             tag = lambda c, row: tk.mix(c ^ tk.mix(row.astype(np.uint64) + tk.U64(1)))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 SLICE_ROWS = 30_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -84,15 +84,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
             continue
         k = batch.schema.get_field_index(text)
         col = batch.column(k)
-        col = col.cast(pa.large_string()) if not pa.types.is_large_string(col.type) else col
-        col = pc.fill_null(col, "")
-        size = pc.binary_length(col).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.cumsum(size + limit / SLICE_ROWS) // limit
         edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [len(col)]])
         others = batch.select([n for n in batch.schema.names if n != text])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = col.slice(a, b - a)
-            offs = np.frombuffer(part.buffers()[1], np.int64, len(part) + 1, part.offset * 8)
+            part = pc.fill_null(col.slice(a, b - a), "")  # a copy, if any, of one slice only
+            width = np.int64 if pa.types.is_large_string(part.type) else np.int32
+            offs = np.frombuffer(part.buffers()[1], width, len(part) + 1, part.offset * np.dtype(width).itemsize).astype(np.int64)
             raw = part.buffers()[2]
             data = np.frombuffer(raw, np.uint8)[offs[0] : offs[-1]] if raw is not None else np.empty(0, np.uint8)
             yield Slice(others.slice(a, b - a), data, offs[:-1] - offs[0], offs[1:] - offs[0])
