@@ -29,8 +29,11 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, else a local one (tests only)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The shared folder that the cluster names; on one machine, as in tests, a local one if none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
