@@ -37,6 +37,8 @@ BANDS, ROWS = 30, 6
 #: Least share of equal one-bit registers: 0.9 is expected at the similarity, 0.5 for unlike texts.
 LEAST_BITS = 0.79
 SMALL, TILE = 64, 384
+#: Rows whose registers (3 kB each while they are filled) are held at once.
+SLICE_ROWS = 8_000
 #: So many digests (a few MB) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _STEP = tk.U64(0xD1342543DE82EF95)
@@ -122,7 +124,7 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, id (digest), buckets, b0, b1, b2: a row per input row; texts without words have no buckets."""
 
     def run(batches):
-        for s in tk.slices(batches, "_text"):
+        for s in tk.slices(batches, "_text", most=SLICE_ROWS):
             g, row, w = weighted(*shingles(s))
             sig = signatures(g, row, w, len(s))
             some = np.bincount(row, minlength=len(s)) > 0

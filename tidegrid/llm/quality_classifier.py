@@ -27,6 +27,8 @@ SAMPLE = 2_000
 DIMENSIONS = 32
 NEIGHBOURS = 15
 BLOCK = 512
+#: Rows whose dense term vectors (6 kB each) are held at once.
+SLICE_ROWS = 2_000
 FOLDS, HELD_OUT = 4, 2
 #: The weight of a similarity is its power: near-equal vectors outvote merely similar ones.
 POWER = 4
@@ -125,7 +127,7 @@ def train(labelled: DataFrame) -> Model:
     """From rows (order, label, _text), at most 2 * SAMPLE: their term vectors come to the driver."""
 
     def run(batches):
-        for s in tk.slices(batches, "_text"):
+        for s in tk.slices(batches, "_text", most=SLICE_ROWS):
             x = term_shares(s)
             yield pa.RecordBatch.from_arrays([s.rows.column(0), s.rows.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["order", "label", "x"])
 
@@ -141,7 +143,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         m = shared.value
-        for s in tk.slices(batches, "_text"):
+        for s in tk.slices(batches, "_text", most=SLICE_ROWS):
             out = vote(m, term_shares(s))
             yield pa.RecordBatch.from_arrays([s.rows.column(0), pa.array(out)], names=["_key", "score"])
 

@@ -77,15 +77,15 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[Slice]:
-    """Cut batches into slices of about `limit` bytes and at most SLICE_ROWS rows; a null text counts as empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE, most: int = SLICE_ROWS) -> Iterator[Slice]:
+    """Cut batches into slices of about `limit` bytes and at most about `most` rows; a null text counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
         k = batch.schema.get_field_index(text)
         col = batch.column(k)
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cut = np.cumsum(size + limit / SLICE_ROWS) // limit
+        cut = np.cumsum(size + limit / most) // limit
         edges = np.concatenate([[0], np.flatnonzero(np.diff(cut)) + 1, [len(col)]])
         others = batch.select([n for n in batch.schema.names if n != text])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
