@@ -123,6 +123,29 @@ def test_network_gradients_are_those_of_differences():
         assert grad[k] == pytest.approx((loss[0] - loss[1]) / (2 * eps), rel=0.02)
 
 
+def test_lanes_learn_what_documents_apart_learn():
+    r = np.random.default_rng(3)
+    sizes = np.array([7, 5, 4])
+    ids = r.integers(0, 7, gru.WINDOW)
+    target = np.where(ids < 5, ids, -1)
+    source, first, size = gru.in_lanes(sizes, 2)
+    assert sorted(source.tolist()) == list(range(16)) and first.sum() == 3 and sorted(size.tolist()) == [7, 9]
+    got = []
+    for lanes in (3, 1):
+        net = small_net()
+        net.learn(ids, target, sizes, {k: np.full_like(x, 1e12) for k, x in net.p.items()}, lanes)
+        got.append(net.p)
+    for name in got[0]:
+        assert got[0][name] == pytest.approx(got[1][name], abs=1e-12)
+
+
+def test_every_training_document_reaches_the_network(spark):
+    for i in [k for k in range(20) if zlib.crc32(str(k).encode()) % 7 != 2][:3]:
+        docs = spark.createDataFrame([(i, "a b " * 200)], "doc_id long, text string")
+        r = lm_scoring.op4_query(docs).collect()[0]
+        assert r.score > r.base_score + 1
+
+
 # 6
 
 

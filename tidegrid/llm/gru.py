@@ -8,6 +8,8 @@ all words without a place of their own; their share within it is not part of the
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN, EMBED = 24, 16
@@ -116,49 +118,102 @@ class Gru:
         out[order] = total
         return out
 
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, memory: dict) -> float:
-        """One pass of Adagrad over the documents, window by window; returns the mean loss."""
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, memory: dict, lanes: int = 1 << 30) -> float:
+        """One pass of Adagrad over the documents, window by window; returns the mean loss.
+
+        Documents run one after another in `lanes` lanes of about equal length, each from an empty state. With
+        lanes, a window in which few of them still run makes a step as small as its share of a full one.
+        """
         p = self.p
-        start = np.cumsum(lengths) - lengths
-        order, windows = self.windows(lengths)
+        full = lanes * WINDOW if lanes < len(lengths) else 0
+        source, first, sizes = in_lanes(lengths, lanes)
+        inputs, targets = inputs[source], targets[source]
+        start = np.cumsum(sizes) - sizes
+        order, windows = self.windows(sizes)
         at = start[order]
-        h = np.zeros((len(lengths), HIDDEN), np.float32)
+        h = np.zeros((len(sizes), HIDDEN), np.float32)
         loss, tokens = 0.0, 0
+        grads = {n: np.zeros_like(x) for n, x in p.items()}
         for a, running in windows:
-            grads = {n: np.zeros_like(x) for n, x in p.items()}
-            kept, places = [], []
+            place = np.concatenate([at[:m] + a + k for k, m in enumerate(running)])
+            ids, goal, begins = inputs[place], targets[place], first[place]
+            ends = np.cumsum(running)
+            x = p["E"][ids]
+            gx = x @ p["W"] + p["b"]
+            kept = []
             h = h[: running[0]]
-            for k, m in enumerate(running):
+            for m, y in zip(running, ends.tolist(), strict=True):
                 h = h[:m]
-                places.append(at[:m] + a + k)
-                ids = inputs[places[-1]]
-                x = p["E"][ids]
-                new, z, r, u, n = self.step(x @ p["W"] + p["b"], h)
-                kept.append((ids, x, h, z, r, u, n))
-                h = new
-            lp, dh_all = self.output(np.concatenate([x[2] for x in kept]), targets[np.concatenate(places)], grads)
+                new = begins[y - m : y]
+                if new.any():
+                    h = np.where(new[:, None], np.float32(0), h)
+                nxt, z, r, u, n = self.step(gx[y - m : y], h)
+                kept.append((h, z, r, u, n))
+                h = nxt
+            before = np.concatenate([k[0] for k in kept])
+            lp, dh_all = self.output(before, goal, grads)
             loss -= float(lp.sum())
-            count = sum(running)
+            count = len(place)
             tokens += count
-            ends = np.cumsum(running)
             dh = np.zeros_like(h)
+            dg, dgh = np.empty_like(gx), np.empty_like(gx)
             for k in range(len(running) - 1, -1, -1):
-                ids, x, hp, z, r, u, n = kept[k]
+                hp, z, r, u, n = kept[k]
+                a_, b_ = ends[k] - running[k], ends[k]
                 if len(dh) < len(hp):
-                    dh = np.concatenate([dh, np.zeros((len(hp) - len(dh), HIDDEN), np.float32)])
+                    dh = np.concatenate([dh, np.zeros((len(hp) - len(dh), HIDDEN), dh.dtype)])
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (hp - n) * z * (1 - z)
                 dr = dn * u * r * (1 - r)
-                dg = np.concatenate([dz, dr, dn], axis=1)
-                dgh = np.concatenate([dz, dr, dn * r], axis=1)
-                grads["U"] += hp.T @ dgh
-                grads["W"] += x.T @ dg
-                grads["b"] += dg.sum(0)
-                np.add.at(grads["E"], ids, dg @ p["W"].T)
-                dh = dh * z + dgh @ p["U"].T + dh_all[ends[k] - running[k] : ends[k]]
-            for name, g in grads.items():
-                g /= max(1, count) / 8  # a mean, so that steps do not follow the batch's size
-                mem = memory.setdefault(name, np.full_like(g, 1e-2))
-                mem += g * g
-                p[name] -= RATE * g / np.sqrt(mem)
+                dg[a_:b_] = np.concatenate([dz, dr, dn], axis=1)
+                dgh[a_:b_] = np.concatenate([dz, dr, dn * r], axis=1)
+                dh = dh * z + dgh[a_:b_] @ p["U"].T + dh_all[a_:b_]
+                new = begins[a_:b_]
+                if new.any():
+                    dh = np.where(new[:, None], np.float32(0), dh)
+            grads["U"] += before.T @ dgh
+            grads["W"] += x.T @ dg
+            grads["b"] += dg.sum(0)
+            by = np.argsort(ids, kind="stable")
+            mine = ids[by]
+            cut = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            used = mine[cut]
+            grads["E"][used] = np.add.reduceat((dg @ p["W"].T)[by], cut)
+            # Rows without a gradient stay as they are, in Adagrad too.
+            near = np.zeros(len(self.first), bool)
+            near[self.cls[goal[goal >= 0]]] = True
+            rows = {"E": used, "O": np.flatnonzero(near[self.cls]), "o": slice(None)}
+            for name, whole in grads.items():
+                to = rows.get(name, slice(None))
+                g = whole[to] / (max(1, count, full) / 8)  # a mean, so that steps do not follow the batch's size
+                if name not in memory:
+                    memory[name] = np.full_like(whole, 1e-2)
+                mem = memory[name]
+                now = mem[to] + g * g
+                mem[to] = now
+                p[name][to] -= RATE * g / np.sqrt(now)
+                whole[to] = 0
         return loss / max(1, tokens)
+
+
+def in_lanes(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all tokens lane by lane, which of them begin a document, and the lanes' sizes.
+
+    The longest documents come first, each in the shortest lane so far.
+    """
+    heap = [(0, k) for k in range(min(lanes, len(lengths)))]
+    lane = np.zeros(len(lengths), np.int64)
+    size = np.zeros(len(heap), np.int64)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n, k = heap[0]
+        lane[i] = k
+        size[k] = n + int(lengths[i])
+        heapq.heapreplace(heap, (int(size[k]), k))
+    order = np.argsort(lane, kind="stable")
+    n = lengths[order]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    source = np.repeat((np.cumsum(lengths) - lengths)[order] - (ends - n), n) + np.arange(total)
+    first = np.zeros(total, bool)
+    first[(ends - n)[n > 0]] = True
+    return source, first, size

@@ -6,9 +6,9 @@ and how often all documents do.
 1. Counts by token, combined per task before they are exchanged. Tokens frequent in all documents, at most
    TOP of them, are broadcast with their training counts; the VOCABULARY most frequent of those in training
    have a place of their own in the network, in classes of about equal weight.
-2. The network (`gru`) is trained by truncated backpropagation on every SHARE-th training document, so that
-   what it learns from grows with the corpus. Workers start alike, train on their own documents and are
-   averaged, weighted by their tokens, ROUNDS times.
+2. The network (`gru`) is trained by truncated backpropagation on every training document, once. Workers start
+   alike, train on their own documents and are averaged, weighted by their tokens, in rounds whose number grows
+   with the logarithm of the corpus, ROUNDS at least.
 3. One pass scores all documents: the network runs over whole documents, its state carried from window to
    window, and frequent tokens add their counts. All other tokens are sent by bucket of their hash, ten bytes
    each, to be counted there, and their sums come back to their documents.
@@ -23,6 +23,7 @@ gives an empty result. Two tokens with one hash would be counted as one (chance
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +40,9 @@ from tidegrid.session import materialize
 FOLDS, HELD_OUT = 7, 2
 TOP = 1 << 18
 VOCABULARY, CLASSES = 4096, 48
-SHARE, ROUNDS = 16, 2
+ROUNDS = 2
 DOCS_PER_WORKER, MOST_WORKERS, SUMS = 1500, 4096, 32
+#: Documents that run side by side in training.
 BATCH = 128
 TOKENS_PER_BUCKET = 1_500_000
 #: Texts of so many bytes run through the network together.
@@ -170,25 +172,34 @@ def untrained(c: Corpus) -> Model:
     return Model(gru.Gru(cls, np.log(mass / mass.sum()), np.log(counts / mass[cls]) if len(words) else np.empty(0)), words[order], order.astype(np.int32), rest / c.norm)
 
 
-def train(docs: DataFrame, m: Model, share: int = SHARE, rounds: int = ROUNDS) -> Model:
-    """docs: pick (a hash of the key), _text; training documents only."""
-    some = docs.filter(F.pmod(F.col("pick"), F.lit(share)) == 0).withColumn("turn", F.pmod(F.shiftright("pick", 16), F.lit(rounds)))
-    some = materialize(some.select("pick", "turn", "_text"), "lm-sample")
-    workers = int(min(MOST_WORKERS, max(1, some.count() // (DOCS_PER_WORKER * rounds))))
+def train(docs: DataFrame, m: Model) -> Model:
+    """docs: pick (a hash of the key), _text; training documents only, all of which are learned from."""
+    n = docs.count()
+    rounds = max(ROUNDS, math.ceil(math.log2(1 + n / DOCS_PER_WORKER)))
+    workers = min(MOST_WORKERS, max(1, n // (DOCS_PER_WORKER * rounds)))
+    some = docs.withColumn("turn", F.pmod(F.shiftright("pick", 16), F.lit(rounds)))
     for turn in range(rounds):
 
         def run(batches, m=m):
             memory: dict = {}
-            total = 0
+            total = size = 0
             net = m.net
+            held: list = []
+
+            def learned():
+                inputs, targets, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+                net.learn(inputs, targets, sizes, memory, BATCH)
+                held.clear()
+                return len(inputs)
+
             for s in tk.slices(batches, "_text"):
                 k = tokens(s)
-                inputs, targets = m.ids(k)
-                off = np.cumsum(np.append(0, k.sizes))
-                for x in range(0, len(s), BATCH):
-                    y = min(len(s), x + BATCH)
-                    net.learn(inputs[off[x] : off[y]], targets[off[x] : off[y]], k.sizes[x:y], memory)
-                total += len(k.hashes)
+                held.append((*m.ids(k), k.sizes))
+                size += len(s.data)
+                if size >= TOGETHER:
+                    total, size = total + learned(), 0
+            if held:
+                total += learned()
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(total)]), pa.array([np.concatenate([p.ravel() for p in net.p.values()]).astype(np.float32).tobytes()], pa.binary())], names=["worker", "weight", "net"])
 
