@@ -226,6 +226,15 @@ def test_near_duplicates_are_those_of_brute_force(spark, hard, monkeypatch, smal
     assert sorted(map(tuple, near_duplicates.op8_query(docs).collect())) == classes_by_brute_force(texts_of(docs))
 
 
+def test_near_duplicates_may_repeat_shingles(spark):
+    docs = []
+    for i in range(0, 20, 2):
+        words = [f"w{i}x{k}" for k in range(1000)]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(words + words[100:150] * 40))]
+    got = near_duplicates.op8_query(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == classes_by_brute_force(docs) == [(i, i // 2 * 2) for i in range(20)]
+
+
 def test_one_row_of_each_class_stays(hard, nothing, nameless):
     kept = near_duplicates.without_copies(hard)
     assert kept.schema == hard.schema

@@ -1,10 +1,11 @@
 """Near-duplicate documents by ProbMinHash.
 
-Method. A document's weighted set is its shingles of SHINGLE words with their counts. Each shingle sends a
-Poisson process of arrivals, at the rate of its weight, to registers drawn at random; a register keeps the
-shingle that came first, and a shingle is done once its next arrival is later than all registers of
-the document. Registers agree with the probability Jaccard of two documents. BANDS bands of ROWS
-registers give buckets. Exact copies are one text throughout, named by its digest.
+Method. A document is the set of its shingles of SHINGLE words; each different shingle has weight 1, however
+often it occurs. Each shingle sends a Poisson process of arrivals, at the rate of its weight, to registers
+drawn at random; a register keeps the shingle that came first, and a shingle is done once its next arrival is
+later than all registers of the document. With these weights registers agree with the Jaccard similarity of two
+sets, by which pairs are verified too. BANDS bands of ROWS registers give buckets. Exact copies are one text
+throughout, named by its digest.
 
 Within a bucket each text is compared with the bucket's pivot first, not with every member, and pairs
 that are in one class by then add nothing. Members still apart in a bucket of at most SMALL are compared
@@ -125,8 +126,8 @@ def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for s in tk.slices(batches, "_text", most=SLICE_ROWS):
-            g, row, w = weighted(*shingles(s))
-            sig = signatures(g, row, w, len(s))
+            g, row, _ = weighted(*shingles(s))
+            sig = signatures(g, row, np.ones(len(g)), len(s))
             some = np.bincount(row, minlength=len(s)) > 0
             keys = band_keys(sig).view(np.int64)[some]
             offs = np.cumsum(np.append(0, np.where(some, BANDS, 0))).astype(np.int32)
