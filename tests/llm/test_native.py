@@ -86,6 +86,20 @@ def test_url_filters_match_sql(spark, sql):
     assert url_filters.op3_query(pages.limit(0)).count() == 0
 
 
+def test_aliases_by_relative_links_and_either_order(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    cases = [(link("index.html"), "a.org/fr/index.html"), (link("../es/x"), "a.org/es/x"), (link("?lang=fr"), "a.org/fr/p?lang=fr"), (link("/./q/../r"), "a.org/r"), (link("//B.org/x"), "b.org/x")]
+    cases += [("<meta content='0;url=http://b.org/1' http-equiv=refresh>", "b.org/1"), ('<meta http-equiv="refresh" content="0; url=y?z=1">', "a.org/fr/y?z=1"), (link("/in?to=http://c.org/"), "a.org/in?to=http://c.org/")]
+    cases += [(link("#top"), None), (link("mailto:x"), None), (link(".."), "a.org/")]
+    for k, (html, want) in enumerate(cases):
+        cases[k] = (k, "http://a.org/fr/p", html, want)
+    got = url_filters.alias_edges(spark.createDataFrame([c[:3] for c in cases], "page_id long, url string, html string")).collect()
+    assert sorted(r.dst for r in got) == sorted(c[3] for c in cases if c[3])
+    pages = [(1, "http://a.example.net/fr/1", "x"), (2, "http://a.example.net/p", link("fr/1"))]
+    verdicts = {r.page_id: r.verdict for r in url_filters.op3_query(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert verdicts == {1: "block", 2: "block"}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8), (1, 1), (None, 2), (8, 7)], "src int, dst int")
     got = {r.node: r.component for r in components.connected_components(e).collect()}

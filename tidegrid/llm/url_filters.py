@@ -32,6 +32,8 @@ RULES = (
 #: Links that declare an alias, in either order of attributes; the address is the first group that matched.
 CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)|<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)[^>]*\brel\s*=\s*["']?canonical\b"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\bcontent\s*=\s*["']?\s*\d+\s*;\s*url\s*=\s*["']?([^"'\s>]+)"""
+#: The same in either order of attributes; REFRESH itself is part of the SQL.
+REFRESH_EITHER = REFRESH + r"""|<meta\b[^>]*\bcontent\s*=\s*["']?\s*\d+\s*;\s*url\s*=\s*["']?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""
 ABC, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -60,18 +62,29 @@ def address(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")).contains("://"), F.concat(host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)))
 
 
+def resolved(to: Column, host: Column, path: Column) -> Column:
+    """The full form of a link on a page at host and path, by RFC 3986; null for other schemes such as mailto."""
+    ref = F.regexp_replace(to, r"(?s)#.*$", "")
+    own, query = F.regexp_extract(ref, r"(?s)^[^?]*", 0), F.regexp_extract(ref, r"(?s)\?.*$", 0)
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    merged = F.when(own.startswith("/"), own).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own))
+    parts = F.split(merged, "/")
+    # The first part is empty, for the leading slash, and stays.
+    up = lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda x, y: F.when(y == "..", up(x)).when(y == ".", x).otherwise(F.concat(x, F.array(y))))
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    full = F.when(own == "", F.concat(path, query)).otherwise(F.concat(F.array_join(kept, "/"), query))
+    out = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to).when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+    return out.when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(ref != "", F.concat(F.lit("http://"), host, full))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst: addresses that a page declares to be one. Relative links count from the page's host."""
+    """src, dst: addresses that a page declares to be one. Relative links count from the page's host and path."""
     u, h = F.col(url), F.col(html)
-    canonical = F.regexp_extract_all(h, F.lit(CANONICAL), F.lit(0))
-    links = F.concat(
-        F.transform(canonical, lambda x: F.concat(F.regexp_extract(x, CANONICAL, 1), F.regexp_extract(x, CANONICAL, 2))),
-        F.regexp_extract_all(h, F.lit(REFRESH), F.lit(1)),
-    )
+    both = lambda p: F.transform(F.regexp_extract_all(h, F.lit(p), F.lit(0)), lambda x: F.concat(F.regexp_extract(x, p, 1), F.regexp_extract(x, p, 2)))
     some = h.rlike("(?i)canonical|http-equiv")
-    found = pages.filter(some & u.contains("://")).select(address(u).alias("src"), host_of(u).alias("own"), F.explode(links).alias("to"))
-    to = F.col("to")
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(F.lit("http://"), F.col("own"), to))
+    found = pages.filter(some & u.contains("://")).select(address(u).alias("src"), host_of(u).alias("own"), path_of(u).alias("path"), F.explode(F.concat(both(CANONICAL), both(REFRESH_EITHER))).alias("to"))
+    full = resolved(F.col("to"), F.col("own"), F.col("path"))
     return found.select("src", address(full).alias("dst")).filter(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
 
 
