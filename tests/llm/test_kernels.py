@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -30,8 +31,23 @@ def test_words_and_hashes_agree_with_python():
     got = [(int(r), s.data[i:j].tobytes().decode()) for i, j, r in zip(a, b, row, strict=True)]
     assert got == [(k, w) for k, t in enumerate(texts) for w in WORD.findall(t)]
     one, two = tk.one_slice(["a word b"]), tk.one_slice(["", "longer before a word"])
-    h = lambda s: {s.data[i:j].tobytes(): int(x) for (i, j), x in zip(zip(*tk.word_spans(s)[:2], strict=True), tk.span_hash(tk.prefix_hash(s.data), *tk.word_spans(s)[:2]), strict=True)}
+    h = lambda s: {s.data[i:j].tobytes(): int(x) for (i, j), x in zip(zip(*tk.word_spans(s)[:2], strict=True), tk.span_hash(s.data, *tk.word_spans(s)[:2]), strict=True)}
     assert h(one)[b"word"] == h(two)[b"word"] != h(one)[b"a"]
+    # Thue-Morse words, whose polynomials modulo a power of two are equal for every odd base.
+    words = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for n in (64, 1024, 4096) for k in (0, 1)]
+    assert len(set(h(tk.one_slice([" ".join(words)])).values())) == 6
+    n = [7, 8, 9, 16, 17, 1024, 1025]
+    near = ["x" * k + c for k in n for c in "yz"]
+    assert len(set(h(tk.one_slice([" ".join(near)])).values())) == len(near)
+
+
+def test_spans_are_compared_byte_by_byte():
+    r = random.Random(3)
+    data = np.array([r.randint(0, 1) for _ in range(400)], np.uint8)
+    a, b, n = (np.array([r.randrange(m) for _ in range(500)]) for m in (350, 350, 40))
+    n[:20], b[:10] = 40, a[:10]
+    want = [data[x : x + m].tobytes() == data[y : y + m].tobytes() for x, y, m in zip(a, b, n, strict=True)]
+    assert tk.same_spans(data, a, b, n).tolist() == want
 
 
 def test_slices_cover_all_rows():

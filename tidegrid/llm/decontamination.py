@@ -49,7 +49,7 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
     """Word hashes of each text."""
     s = tk.one_slice(texts)
     a, b, row = tk.word_spans(s, tk.PUNCTUATION)
-    h = tk.span_hash(tk.prefix_hash(s.data), a, b)
+    h = tk.span_hash(s.data, a, b)
     cut = np.searchsorted(row, np.arange(len(texts) + 1))
     return [h[cut[i] : cut[i + 1]] for i in range(len(texts))]
 
@@ -213,7 +213,7 @@ def leaks(ix: Index, s: tk.Slice) -> list[tuple[int, int, float, float, float]]:
     a, b, row = tk.word_spans(s, tk.PUNCTUATION)
     if not len(a) or not len(ix.terms):
         return []
-    h = tk.span_hash(tk.prefix_hash(s.data), a, b)
+    h = tk.span_hash(s.data, a, b)
     term = np.searchsorted(ix.terms, h)
     term[term == len(ix.terms)] = 0
     known = ix.terms[term] == h

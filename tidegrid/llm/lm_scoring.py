@@ -67,7 +67,7 @@ class Tokens:
 def tokens(s: tk.Slice) -> Tokens:
     data = tk.lower(s.data)
     a, b, row = tk.word_spans(s)
-    h = tk.span_hash(tk.prefix_hash(data), a, b)
+    h = tk.span_hash(data, a, b)
     n = np.bincount(row, minlength=len(s))
     at = np.cumsum(n)
     return Tokens(np.insert(h, at, END), np.insert((data[b - 1] & (gru.RARE_INPUTS - 1)).astype(np.int32), at, 0), n + 1)

@@ -48,7 +48,7 @@ _STEP = tk.U64(0xD1342543DE82EF95)
 def shingles(s: tk.Slice) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every shingle of a slice, repeats included."""
     a, b, row = tk.word_spans(s)
-    h = tk.span_hash(tk.prefix_hash(s.data), a, b)
+    h = tk.span_hash(s.data, a, b)
     g = tk.grams(h, SHINGLE)
     inside = row[: len(g)] == row[SHINGLE - 1 :] if len(g) else np.empty(0, bool)
     out, rows = [g[inside]], [row[: len(g)][inside]]

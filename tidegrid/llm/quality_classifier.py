@@ -61,7 +61,7 @@ def term_shares(s: tk.Slice) -> np.ndarray:
         flat = np.bincount((row[:-1] * TERMS + pair)[same], minlength=n * TERMS).reshape(n, TERMS)
         out[:] = np.sqrt(flat / np.maximum(1, size - 1)[:, None])
     a, b, row = tk.word_spans(s)
-    h = tk.span_hash(tk.prefix_hash(s.data), a, b)
+    h = tk.span_hash(s.data, a, b)
     g = tk.grams(h, 3)
     if len(g):
         inside = row[: len(g)] == row[2:]

@@ -241,7 +241,7 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     data = np.frombuffer(ctx.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     a, b = offs[:-1] - offs[0], offs[1:] - offs[0]
     # Equal contexts once each, for the least key that has them.
-    whole = tk.mix(tk.span_hash(tk.prefix_hash(data), a, b) ^ tk.mix(h.view(np.uint64) + lead.astype(np.uint64) * tk.U64(_MULT)) + (b - a).astype(np.uint64))
+    whole = tk.mix(tk.span_hash(data, a, b) ^ tk.mix(h.view(np.uint64) + lead.astype(np.uint64) * tk.U64(_MULT)) + (b - a).astype(np.uint64))
     _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, inverse, key)

@@ -247,7 +247,7 @@ def encode_slice(e: Encoder, data: np.ndarray, starts: np.ndarray, ends: np.ndar
     cut[starts[starts < n]] = True
     a = np.flatnonzero(cut)
     b = np.append(a[1:], n)
-    h = tk.span_hash(tk.prefix_hash(data), a, b)
+    h = tk.span_hash(data, a, b)
     _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     ids, count = solve(e, data, a[first], b[first])
     at = np.cumsum(count) - count

@@ -2,13 +2,14 @@
 
 A slice is a run of rows whose texts lie back to back in one byte array. Slices are cut by bytes, so memory
 follows SLICE and the longest single text, not the number of rows in a batch. Strings within a slice are
-named by a 64-bit hash: a polynomial over random byte values by prefix sums, finished by a mixer. The hash
-of a string is the same in every slice and task.
+named by a 64-bit hash that mixes eight bytes at a time into its state. The hash of a string is the same in
+every slice and task.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,6 @@ SLICE = 1 << 20
 SLICE_ROWS = 30_000
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -29,19 +29,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: All bytes but letters, digits and those of characters beyond ASCII.
 PUNCTUATION = np.ones(256, bool)
 PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        m = max(n, SLICE + 4096)
-        have = np.full(m, _BASE if kind == "up" else _INVERSE, U64)
-        have[0] = 1
-        _powers[kind] = have = np.cumprod(have)
-        if m > 4 * SLICE:  # not kept for one long text
-            return _powers.pop(kind)
-    return have[:n]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 1024
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,16 +88,39 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE, mos
         give_back()
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] naming data[i:j], up to a power of the base."""
-    h = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTES[data] * _power("up", len(data)), out=h[1:])
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end; a view of every place."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of data, from their bytes alone: every eight bytes are mixed into the state, which begins with the length."""
+    size = ends - starts
+    at = eight_bytes(data)
+    h = mix(size.astype(U64) * U64(_BASE))
+    todo, depth = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(todo):
+        left = size[todo] - depth
+        h[todo] = mix(h[todo] ^ (at[starts[todo] + depth] & _MASKS[np.minimum(left, 8)])) + U64(_BASE)
+        todo, depth = todo[left > 8], depth + 8
+    for k in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return h
 
 
-def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans."""
-    return mix((h[ends] - h[starts]) * _power("down", len(h))[starts])
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from each a equal those from each b."""
+    at = eight_bytes(data)
+    ok = np.ones(len(a), bool)
+    todo, depth = np.flatnonzero((size > 0) & (a != b)), 0
+    while len(todo):
+        left = size[todo] - depth
+        mask = _MASKS[np.minimum(left, 8)]
+        equal = ((at[a[todo] + depth] ^ at[b[todo] + depth]) & mask) == 0
+        ok[todo[~equal]] = False
+        todo, depth = todo[equal & (left > 8)], depth + 8
+    return ok
 
 
 def lower(data: np.ndarray) -> np.ndarray:
