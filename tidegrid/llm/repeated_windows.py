@@ -12,9 +12,10 @@ an anchor per 14 bytes or so.
 2. Anchors of the other texts are packed by bucket, six bytes each; an anchor that several documents of a
    slice have is sent once. Per bucket those that occur in more than one document are told to their
    documents. The number of buckets follows the bytes of all texts.
-3. Those documents' texts are read again; an anchor that is told is sent with the bytes its windows cover.
+3. Those documents' texts are read again; an anchor that is told is sent with the bytes its windows cover. Of
+   equal contexts in a slice only the least id's is sent: the others lose all their bytes at once.
 4. Per bucket of anchors all windows are sorted by eight-byte digits, group by group, until WINDOW bytes
-   are equal; a window whose group holds a smaller id is removed. An anchor with over HOT occurrences is
+   are equal; a window whose group holds a smaller id is removed. An anchor with over HOT such contexts is
    not collected: its equal contexts are combined before they are exchanged, and only the first of each
    goes on. If over HOT are left, their windows are grouped one by one by a digest, combined likewise.
 5. A document's ranges meet by its id.
@@ -45,6 +46,8 @@ ANCHORS_PER_BUCKET = 400_000
 CONTEXTS_PER_BUCKET = 20_000
 HOT = 5_000
 BROADCAST_ROWS = 200_000
+#: Partitions follow the buckets, whose number follows the bytes; beyond so many, a task has several.
+MOST_PARTITIONS = 20_000
 _POS = tk.U64((1 << 24) - 1)
 _MULT = 0xD6E8FEB86659FD93
 
@@ -104,6 +107,8 @@ def code(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 MANY = 0xFFFF
+#: Anchors in a row of those that a slice knows to be shared.
+KNOWN = 1 << 15
 _SENT = "bucket bigint, known boolean, hashes binary, docs binary, keys binary, dids binary"
 
 
@@ -124,9 +129,12 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
             first, size = tk.runs(c)
             many = np.repeat(size > 1, size)
             out = []
-            if many.any():
+            shared = np.flatnonzero(many)
+            for x in range(0, len(shared), KNOWN):
                 turn += 1
-                out.append((int(tk.mix(np.array([int(did[0]) & (2**62 - 1), turn], np.uint64))[0] % tk.U64(buckets)), True, c[many].tobytes(), b"", key[row[many]].astype(np.int64).tobytes(), did[row[many]].astype(np.int64).tobytes()))
+                k = shared[x : x + KNOWN]
+                bucket = tk.mix(np.array([did[0]], np.int64).view(np.uint64) + tk.U64(turn))[0] % tk.U64(buckets)
+                out.append((int(bucket), True, c[k].tobytes(), b"", key[row[k]].astype(np.int64).tobytes(), did[row[k]].astype(np.int64).tobytes()))
             c, low = c[first], np.where(size > 1, MANY, row[first])
             ids, local = np.unique(low, return_inverse=True)
             # Row numbers of a slice fit into two bytes, or the slice is sent in parts.
@@ -174,12 +182,34 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.table({"key": out[0], "did": out[1], "anchor": out[2].view(np.int64)})
 
 
+def equal_contexts(data: np.ndarray, h: np.ndarray, lead: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place for each set of equal contexts, and for each context its number among those. Hashes find them, bytes decide."""
+    name = tk.mix(tk.span_hash(data, first, first + size) ^ tk.mix(h.view(np.uint64) + lead.astype(np.uint64) * tk.U64(_MULT)))
+    _, one, inverse = np.unique(name, return_index=True, return_inverse=True)
+    to = one[inverse]
+    same = (h == h[to]) & (lead == lead[to]) & (size == size[to])
+    same[same] = tk.same_spans(data, first[same], first[to[same]], size[same])
+    odd = np.flatnonzero(~same)  # by a collision of names; each stands for itself
+    inverse[odd] = len(one) + np.arange(len(odd))
+    return np.concatenate([one, odd]), inverse
+
+
+def least_of(inverse: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, inverse, key)
+    return least
+
+
 def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
-    """h, key, did, at, lead, ctx: by anchor that is told, where its first window starts, how far the anchor is from there, and the bytes of its windows."""
+    """h, key, did, at, lead, ctx: by anchor that is told, where its first window starts, how far the anchor is from there, and the bytes of its windows.
+
+    Rows with `until` have no context: a smaller key in the same slice has it, and the range from `at` goes.
+    """
 
     def run(batches):
         for s in tk.slices(batches, "_text", SLICE):
             key, did, lists = s.rows.column(0), s.rows.column(1), s.rows.column(2)
+            keys = key.to_numpy()
             of = np.repeat(np.arange(len(s)), [len(x) for x in lists])
             tag = lambda c, row: tk.mix(c ^ tk.mix(row.astype(np.uint64) + tk.U64(1)))
             told = np.sort(tag(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), of))
@@ -188,16 +218,34 @@ def _contexts(docs: DataFrame, buckets: int) -> DataFrame:
                 t = tag(code(h, buckets), rows[row])
                 at = np.minimum(np.searchsorted(told, t), len(told) - 1)
                 on = np.flatnonzero(told[at] == t)
-                for x in range(0, len(on), 100_000):
-                    k = on[x : x + 100_000]
-                    n = size[k] + WINDOW - 1
-                    offs = np.cumsum(np.append(0, n)).astype(np.int32)
-                    body = data[tk.ragged(first[k], n)]
+                if not len(on):
+                    continue
+                h, row, first, n, lead = h[on], row[on], first[on], size[on] + WINDOW - 1, (place - first)[on]
+                one, inverse = equal_contexts(data, h, lead, first, n)
+                mine = keys[rows[row]]
+                late = mine > least_of(inverse, mine, len(one))[inverse]
+                k = np.flatnonzero(late)
+                if len(k):  # in order of place, so that ranges which meet are neighbours
+                    begin = np.ones(len(k), bool)
+                    begin[1:] = (row[k[1:]] != row[k[:-1]]) | (first[k[1:]] > (first + n)[k[:-1]])
+                    f = np.flatnonzero(begin)
+                    e = np.append(f[1:], len(k)) - 1
+                    r, shift = pa.array(rows[row[k[f]]]), (shifts - a)[row[k[f]]]
+                    none = [pa.nulls(len(f), x) for x in (pa.int64(), pa.int32(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([none[0], key.take(r), did.take(r), pa.array(first[k[f]] + shift), none[1], none[2], pa.array((first + n)[k[e]] + shift)], names=_CONTEXT_NAMES)
+                keep = np.flatnonzero(~late)
+                for x in range(0, len(keep), 100_000):
+                    k = keep[x : x + 100_000]
+                    offs = np.cumsum(np.append(0, n[k])).astype(np.int32)
+                    body = data[tk.ragged(first[k], n[k])]
                     ctx = pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offs), pa.py_buffer(body)])
                     r = pa.array(rows[row[k]])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), key.take(r), did.take(r), pa.array(first[k] - a[row[k]] + shifts[row[k]]), pa.array((place[k] - first[k]).astype(np.int32)), ctx], names=["h", "key", "did", "at", "lead", "ctx"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[k].view(np.int64)), key.take(r), did.take(r), pa.array(first[k] + (shifts - a)[row[k]]), pa.array(lead[k].astype(np.int32)), ctx, pa.nulls(len(k), pa.int64())], names=_CONTEXT_NAMES)
+
+    return docs.mapInArrow(run, "h bigint, key bigint, did bigint, at bigint, lead int, ctx binary, until bigint")
 
-    return docs.mapInArrow(run, "h bigint, key bigint, did bigint, at bigint, lead int, ctx binary")
+
+_CONTEXT_NAMES = ["h", "key", "did", "at", "lead", "ctx", "until"]
 
 
 def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,10 +289,8 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
     data = np.frombuffer(ctx.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     a, b = offs[:-1] - offs[0], offs[1:] - offs[0]
     # Equal contexts once each, for the least key that has them.
-    whole = tk.mix(tk.span_hash(data, a, b) ^ tk.mix(h.view(np.uint64) + lead.astype(np.uint64) * tk.U64(_MULT)) + (b - a).astype(np.uint64))
-    _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
-    least = np.full(len(first), np.iinfo(np.int64).max)
-    np.minimum.at(least, inverse, key)
+    first, inverse = equal_contexts(data, h, lead, a, b - a)
+    least = least_of(inverse, key, len(first))
     n = (b - a - WINDOW + 1)[first]
     win = tk.ragged(a[first], n)
     owner = np.repeat(np.arange(len(first)), n)
@@ -282,8 +328,8 @@ _RANGE = "key bigint, did bigint, start bigint, end bigint"
 def _hot_ranges(contexts: DataFrame) -> DataFrame:
     """The same for anchors that too many documents have to be collected: windows meet by digest, combined first."""
     w = contexts.select("key", "did", "at", "ctx", F.explode(F.sequence(F.lit(0), F.length("ctx") - WINDOW)).alias("j"))
-    w = w.select("key", "did", (F.col("at") + F.col("j")).alias("start"), F.unhex(F.md5(F.substring(F.col("ctx"), F.col("j") + 1, F.lit(WINDOW)))).alias("w"))
-    low = w.groupBy("w").agg(F.min("key").alias("low"))
+    w = materialize(w.select("key", "did", (F.col("at") + F.col("j")).alias("start"), F.unhex(F.md5(F.substring(F.col("ctx"), F.col("j") + 1, F.lit(WINDOW)))).alias("w")), "hot-windows")
+    low = materialize(w.groupBy("w").agg(F.min("key").alias("low")), "hot-windows-least")  # read back, so that AQE can split hot windows
     return w.join(low, "w").filter(F.col("key") > F.col("low")).select("key", "did", "start", (F.col("start") + WINDOW).alias("end"))
 
 
@@ -333,11 +379,13 @@ def removed_ranges(rows: Rows) -> DataFrame:
     """key, did, spans (array of start, end; ordered, may overlap) for texts that lose bytes and are no whole copies."""
     total = rows.rows.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, int(total * 2 / (WINDOW - GRAM + 2) / ANCHORS_PER_BUCKET))
-    told = _send(rows.single, buckets).groupBy("bucket").applyInArrow(_tell, "key bigint, did bigint, anchor bigint")
+    told = _send(rows.single, buckets).repartition(min(buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_tell, "key bigint, did bigint, anchor bigint")
     told = materialize(told.groupBy("key", "did").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     ctx = materialize(_contexts(rows.texts_of(told, ["anchors"]).select("key", "did", "anchors", "_text"), buckets), "contexts")
+    settled = ctx.filter(F.col("until").isNotNull()).select("key", "did", F.col("at").alias("start"), F.col("until").alias("end"))
+    ctx = ctx.filter(F.col("until").isNull()).drop("until")
     hot = _frequent(ctx)
-    ranges = []
+    ranges = [settled]
     cold, often = _split(ctx, hot)
     if often is not None:
         # Of equal contexts, those with the least key go on; the others lose all their bytes.
@@ -351,7 +399,7 @@ def removed_ranges(rows: Rows) -> DataFrame:
         if very is not None:
             ranges.append(_hot_ranges(very))
     parts = max(1, ctx.count() // CONTEXTS_PER_BUCKET)
-    out = cold.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(parts))).groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _RANGE)
+    out = cold.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(parts))).repartition(min(parts, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(lambda t: _sorted_bucket(t), _RANGE)
     for more in ranges:
         out = out.unionByName(more)
     return materialize(out.groupBy("key", "did").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")), "ranges")
