@@ -1,20 +1,20 @@
 """A small gated recurrent language model in numpy: batched, with a class-factored softmax.
 
-Documents of a batch run in step, longest first, so that those still running are a prefix. The state is
-carried from window to window; training cuts the gradient there (truncated backpropagation through
-time). A word's probability is its class's times its own within the class. The last class holds
+In scoring, documents run in step, longest first, so that those still running are a prefix; in training they
+follow each other in lanes of equal length. The state is carried from window to window; training cuts the
+gradient there (truncated backpropagation through time). A word's probability is its class's times its own within the class. The last class holds
 all words without a place of their own; their share within it is not part of the model.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 HIDDEN, EMBED = 24, 16
 WINDOW = 16
-RATE = 0.05
+RATE = 0.2
+#: Lanes that run side by side in training at most, and the steps each has at least where there are several.
+LANES, LANE_STEPS = 512, 4096
 #: Inputs for words without a place of their own, told apart by their last byte.
 RARE_INPUTS = 32
 
@@ -49,16 +49,10 @@ class Gru:
         """Natural log-probabilities of the targets (of the last class for targets without a place), and d loss / d h."""
         p, rare = self.p, len(self.p["c"]) - 1
         cls = np.where(target >= 0, self.cls[np.maximum(target, 0)] if len(self.cls) else 0, rare)
-        logits = h @ p["C"] + p["c"]
-        logits -= logits.max(1, keepdims=True)
-        ex = np.exp(logits)
-        total = ex.sum(1, keepdims=True)
-        at = np.arange(len(h))
-        out = logits[at, cls] - np.log(total[:, 0])
+        ex, total, out = softmax(h @ p["C"] + p["c"], cls)
         dh = None
         if grads is not None:
-            d = ex / total
-            d[at, cls] -= 1
+            d = _less_one(ex, total, cls)
             grads["C"] += h.T @ d
             grads["c"] += d.sum(0)
             dh = d @ p["C"].T
@@ -71,15 +65,11 @@ class Gru:
                 continue
             w = p["O"][a:b]
             hm = h[m]
-            lg = hm @ w.T + p["o"][a:b]
-            lg -= lg.max(1, keepdims=True)
-            e = np.exp(lg)
-            t = e.sum(1, keepdims=True)
-            mine = np.arange(len(m)), target[m] - a
-            out[m] += lg[mine] - np.log(t[:, 0])
+            goal = target[m] - a
+            e, t, lp = softmax(hm @ w.T + p["o"][a:b], goal)
+            out[m] += lp
             if grads is not None:
-                d = e / t
-                d[mine] -= 1
+                d = _less_one(e, t, goal)
                 grads["O"][a:b] += d.T @ hm
                 grads["o"][a:b] += d.sum(0)
                 dh[m] += d @ w
@@ -118,102 +108,95 @@ class Gru:
         out[order] = total
         return out
 
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, memory: dict, lanes: int = 1 << 30) -> float:
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, memory: dict, lanes: int = LANES) -> float:
         """One pass of Adagrad over the documents, window by window; returns the mean loss.
 
-        Documents run one after another in `lanes` lanes of about equal length, each from an empty state. With
-        lanes, a window in which few of them still run makes a step as small as its share of a full one.
+        The documents, one after another, are cut into lanes of equal length that run side by side. The state
+        is empty where a document or a lane begins, and carried from window to window otherwise.
         """
         p = self.p
-        full = lanes * WINDOW if lanes < len(lengths) else 0
-        source, first, sizes = in_lanes(lengths, lanes)
-        inputs, targets = inputs[source], targets[source]
-        start = np.cumsum(sizes) - sizes
-        order, windows = self.windows(sizes)
-        at = start[order]
-        h = np.zeros((len(sizes), HIDDEN), np.float32)
-        loss, tokens = 0.0, 0
-        grads = {n: np.zeros_like(x) for n, x in p.items()}
-        for a, running in windows:
-            place = np.concatenate([at[:m] + a + k for k, m in enumerate(running)])
-            ids, goal, begins = inputs[place], targets[place], first[place]
-            ends = np.cumsum(running)
+        total = len(inputs)
+        if not total:
+            return 0.0
+        n = max(1, min(lanes, total // LANE_STEPS))
+        size = -(-total // n)
+        n = -(-total // size)
+        begins = np.zeros(total, bool)
+        begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        lane = np.arange(n) * size
+        begins[lane] = True
+        k_ = HIDDEN
+        h = np.zeros((n, k_), np.float32)
+        loss = 0.0
+        for a in range(0, size, WINDOW):
+            # The last lane may be shorter than the others.
+            running = [n if lane[-1] + a + k < total else n - 1 for k in range(min(WINDOW, size - a))]
+            ends = np.cumsum(running).tolist()
+            place = np.concatenate([lane[:m] + (a + k) for k, m in enumerate(running)])
+            ids, goal, new = inputs[place], targets[place], begins[place]
+            count = len(place)
             x = p["E"][ids]
             gx = x @ p["W"] + p["b"]
-            kept = []
-            h = h[: running[0]]
-            for m, y in zip(running, ends.tolist(), strict=True):
+            before, z, r, u, c = (np.empty((count, k_), np.float32) for _ in range(5))
+            for m, y in zip(running, ends, strict=True):
+                at = slice(y - m, y)
                 h = h[:m]
-                new = begins[y - m : y]
-                if new.any():
-                    h = np.where(new[:, None], np.float32(0), h)
-                nxt, z, r, u, n = self.step(gx[y - m : y], h)
-                kept.append((h, z, r, u, n))
-                h = nxt
-            before = np.concatenate([k[0] for k in kept])
-            lp, dh_all = self.output(before, goal, grads)
+                if new[at].any():
+                    h = np.where(new[at][:, None], np.float32(0), h)
+                before[at] = h
+                h, z[at], r[at], u[at], c[at] = self.step(gx[at], h)
+            grads = {name: np.zeros_like(v) for name, v in p.items()}
+            lp, dh_out = self.output(before, goal, grads)
             loss -= float(lp.sum())
-            count = len(place)
-            tokens += count
-            dh = np.zeros_like(h)
+            # Slopes of all steps at once; only what depends on the step after goes backwards.
+            by_c = (1 - z) * (1 - c * c)
+            by_z = (before - c) * z * (1 - z)
+            by_r = u * r * (1 - r)
             dg, dgh = np.empty_like(gx), np.empty_like(gx)
-            for k in range(len(running) - 1, -1, -1):
-                hp, z, r, u, n = kept[k]
-                a_, b_ = ends[k] - running[k], ends[k]
-                if len(dh) < len(hp):
-                    dh = np.concatenate([dh, np.zeros((len(hp) - len(dh), HIDDEN), dh.dtype)])
-                dn = dh * (1 - z) * (1 - n * n)
-                dz = dh * (hp - n) * z * (1 - z)
-                dr = dn * u * r * (1 - r)
-                dg[a_:b_] = np.concatenate([dz, dr, dn], axis=1)
-                dgh[a_:b_] = np.concatenate([dz, dr, dn * r], axis=1)
-                dh = dh * z + dgh[a_:b_] @ p["U"].T + dh_all[a_:b_]
-                new = begins[a_:b_]
-                if new.any():
-                    dh = np.where(new[:, None], np.float32(0), dh)
+            dh = np.zeros((running[-1], k_), np.float32)
+            back = np.ascontiguousarray(p["U"].T)
+            for m, y in zip(reversed(running), reversed(ends), strict=True):
+                at = slice(y - m, y)
+                if len(dh) < m:
+                    dh = np.concatenate([dh, np.zeros((m - len(dh), k_), np.float32)])
+                dc = dh * by_c[at]
+                g = dgh[at]
+                np.multiply(dh, by_z[at], out=g[:, :k_])
+                np.multiply(dc, by_r[at], out=g[:, k_ : 2 * k_])
+                np.multiply(dc, r[at], out=g[:, 2 * k_ :])
+                dg[at, 2 * k_ :] = dc
+                dh = dh * z[at] + g @ back + dh_out[at]
+                if new[at].any():
+                    dh = np.where(new[at][:, None], np.float32(0), dh)
+            dg[:, : 2 * k_] = dgh[:, : 2 * k_]
             grads["U"] += before.T @ dgh
             grads["W"] += x.T @ dg
             grads["b"] += dg.sum(0)
-            by = np.argsort(ids, kind="stable")
+            by = np.argsort(ids.astype(np.uint16 if len(p["E"]) < 1 << 16 else np.int64), kind="stable")
             mine = ids[by]
             cut = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
-            used = mine[cut]
-            grads["E"][used] = np.add.reduceat((dg @ p["W"].T)[by], cut)
-            # Rows without a gradient stay as they are, in Adagrad too.
-            near = np.zeros(len(self.first), bool)
-            near[self.cls[goal[goal >= 0]]] = True
-            rows = {"E": used, "O": np.flatnonzero(near[self.cls]), "o": slice(None)}
-            for name, whole in grads.items():
-                to = rows.get(name, slice(None))
-                g = whole[to] / (max(1, count, full) / 8)  # a mean, so that steps do not follow the batch's size
-                if name not in memory:
-                    memory[name] = np.full_like(whole, 1e-2)
-                mem = memory[name]
-                now = mem[to] + g * g
-                mem[to] = now
-                p[name][to] -= RATE * g / np.sqrt(now)
-                whole[to] = 0
-        return loss / max(1, tokens)
-
-
-def in_lanes(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of all tokens lane by lane, which of them begin a document, and the lanes' sizes.
-
-    The longest documents come first, each in the shortest lane so far.
-    """
-    heap = [(0, k) for k in range(min(lanes, len(lengths)))]
-    lane = np.zeros(len(lengths), np.int64)
-    size = np.zeros(len(heap), np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n, k = heap[0]
-        lane[i] = k
-        size[k] = n + int(lengths[i])
-        heapq.heapreplace(heap, (int(size[k]), k))
-    order = np.argsort(lane, kind="stable")
-    n = lengths[order]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    source = np.repeat((np.cumsum(lengths) - lengths)[order] - (ends - n), n) + np.arange(total)
-    first = np.zeros(total, bool)
-    first[(ends - n)[n > 0]] = True
-    return source, first, size
+            grads["E"][mine[cut]] = np.add.reduceat((dg @ p["W"].T)[by], cut)
+            for name, g in grads.items():
+                g /= count / 8  # a mean, so that steps do not follow the batch's size
+                mem = memory.setdefault(name, np.full_like(g, 1e-2))
+                mem += g * g
+                g /= np.sqrt(mem)
+                g *= RATE
+                p[name] -= g
+        return loss / total
+
+
+def softmax(logits: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials, their sums, and the goals' log-probabilities; works in the logits' place."""
+    logits -= logits.max(1, keepdims=True)
+    out = logits[np.arange(len(goal)), goal]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, total, out - np.log(total)
+
+
+def _less_one(ex: np.ndarray, total: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The gradient of the loss by the logits: probabilities, less one at the goal. Works in ex's place."""
+    ex /= total[:, None]
+    ex[np.arange(len(goal)), goal] -= 1
+    return ex

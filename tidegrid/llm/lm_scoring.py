@@ -41,9 +41,7 @@ FOLDS, HELD_OUT = 7, 2
 TOP = 1 << 18
 VOCABULARY, CLASSES = 4096, 48
 ROUNDS = 2
-DOCS_PER_WORKER, MOST_WORKERS, SUMS = 1500, 4096, 32
-#: Documents that run side by side in training.
-BATCH = 128
+DOCS_PER_WORKER, MOST_WORKERS, SUMS = 3000, 4096, 32
 TOKENS_PER_BUCKET = 1_500_000
 #: Texts of so many bytes run through the network together.
 TOGETHER = 16 << 20
@@ -188,7 +186,7 @@ def train(docs: DataFrame, m: Model) -> Model:
 
             def learned():
                 inputs, targets, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
-                net.learn(inputs, targets, sizes, memory, BATCH)
+                net.learn(inputs, targets, sizes, memory)
                 held.clear()
                 return len(inputs)
 
