@@ -65,4 +65,5 @@ SQL = {
     "op5_secret_scans": secret_scans.sql(),
     "op6_repeated_windows": repeated_windows.SQL,
     "op8_near_duplicates": near_duplicates.SQL,
+    "op9_decontamination": decontamination.SQL,
 }
