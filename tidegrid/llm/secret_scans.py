@@ -3,10 +3,11 @@
 Method. Spans of three fixed kinds come from patterns. Spans where a regular expression matched are
 located without positions from the engine: splitting the text by the same expression gives the gaps, and
 gap and match lengths add up to offsets in code points. The fourth kind, `markov`, takes candidate
-runs of 20 or more key-like characters outside those spans and compares two first-order character
+runs of 20 or more key-like characters, or what those spans leave of them, and compares two first-order character
 models by log-likelihood ratio. Both are trained, once per process, on labelled samples
-(`labelled_samples`: SAMPLES random strings in several alphabets, SAMPLES identifiers of ordinary
-words) with add-one smoothing; scores are whole milli-nats, so that every engine adds them alike.
+(`labelled_samples`: SAMPLES random strings in several alphabets; SAMPLES identifiers, words of four languages,
+paths, numbers, rules and alphabets), smoothed by character class; scores are whole milli-nats, so that every
+engine adds them alike.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned row by row; texts are
 scanned whole, whatever their length; an empty table gives an empty result. Input columns travel in one
@@ -16,8 +17,8 @@ struct, so their names cannot clash.
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,43 +28,92 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
+LEAST_LENGTH = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: The character models' alphabet; index 0 stands for any other character.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIDE = len(ALPHABET) + 1
-SAMPLES = 4000
+SAMPLES = 8000
+#: Weight of the class model in a character's transitions.
+SMOOTH = 60
 #: Least ratio in milli-nats: in all, and per transition.
 LEAST_TOTAL, LEAST_EACH = 12_000, 700
 # Ordinary words that identifiers are made of.
 WORDS = "the of and to in is that it for on was with as by are this from be or an at not have has had which you all can will about more time when up other into some could them see than first been its who now people my made over did down only way find use may water long little very after words called just where most know get through back much go good new write our me man too any day same right look think also around another came come work three must because does part even place well such here take why help put different away again off went old number great tell men say small every found still between name should home big give air line set own under read last never us left end along while might next sound below saw something thought both few those always show large often together asked house world going want school important until form food keep children feet land side without boy once animal life enough took four head above kind began almost live page got earth need far hand high year mother light country father let night picture being study second soon story since white ever paper hard near sentence better best across during today however sure knew try told young sun thing whole hear example heard several change answer room sea against top turned learn point city play toward five himself usually money seen car morning config value index buffer request response handler session user account status update delete create table column result process thread queue cache server client message error default option version module package function method class object string integer double boolean array list map key field record entry node edge graph path file folder directory stream reader writer parser builder factory manager service controller model view template layout render event listener callback promise future task worker pool schedule timer date format encode decode encrypt compress merge split join filter sort group count total average minimum maximum threshold window offset limit batch size length width height depth".split()
 
 
+# Common German, French and Spanish words without accents.
+FOREIGN = "und die der das nicht ein eine ist mit auf werden haben sein auch nach einer einem wurde zwischen gegen durch jahr arbeit zeit leben wasser schule strasse entwicklung gesellschaft bundesregierung wissenschaft verantwortung les des une dans pour que qui sur avec pas plus par sont cette comme mais tout faire deux bien entre aussi leur temps monde pays homme femme gouvernement developpement international aujourd organisation los las del una por con para como pero sus este entre cuando muy sin sobre tambien hasta hay donde quien desde todo nos durante todos uno contra otros ese eso ante ellos gobierno desarrollo universidad informacion trabajo empresa".split()
+# Parts of addresses and file names.
+PARTS = "https http www com org net html xml json css img src lib usr bin etc var tmp home opt docs news blog api static assets images page id v1 v2 test main init py js txt csv png jpg tar gz".split()
+
+
+def _random_string(r: random.Random, k: int) -> str:
+    digits, lower, upper = ALPHABET[52:62], ALPHABET[:26], ALPHABET[26:52]
+    kinds = (ALPHABET[:62], ALPHABET[:64], lower + upper + digits + "_-", upper + digits, lower + digits, lower[:6] + digits, upper[:6] + digits)
+    a = kinds[k % len(kinds)]
+    return "".join(r.choice(a) for _ in range(r.randint(20, 48)))
+
+
+def _ordinary_string(r: random.Random, k: int) -> str:
+    """Identifiers, running words of four languages, paths, numbers, dates, rules, alphabets."""
+    pick = lambda words, a, b: [r.choice(words) for _ in range(r.randint(a, b))]
+    kind = k % 14
+    if kind < 5:
+        w = pick(WORDS, 3, 6)
+        out = ("_".join(w), w[0] + "".join(x.title() for x in w[1:]), "-".join(w), "".join(w), "".join(x.title() for x in w))[kind]
+        return f"{out}{r.randint(0, 99)}" if r.random() < 0.2 else out
+    if kind == 5:
+        return "_".join(pick(WORDS, 3, 6)).upper()
+    if kind == 6:
+        return "".join(pick(FOREIGN, 3, 6))
+    if kind == 7:
+        return r.choice("-_/").join(pick(FOREIGN, 3, 6))
+    if kind in (8, 9):
+        return "/" * r.randint(0, 1) + "/".join(r.choice([r.choice(PARTS), r.choice(WORDS), r.choice(WORDS) + r.choice("-_") + r.choice(FOREIGN), str(r.randint(0, 2030)), r.choice(WORDS).title()]) for _ in range(r.randint(4, 8)))
+    if kind == 10:
+        return "".join(r.choice(ALPHABET[52:62]) for _ in range(r.randint(20, 40)))
+    if kind == 11:
+        return r.choice(["-", "/", "_", "T", "Z-"]).join(f"{r.randint(0, 9999):0{r.randint(2, 6)}}" for _ in range(r.randint(5, 9)))
+    if kind == 12:
+        return (ALPHABET[k // 14 % len(ALPHABET)] if k % 3 else r.choice("-_=/+") + r.choice("-_=/+")) * r.randint(60, 240)
+    run = r.choice([ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62] * 3, ALPHABET[:26][::-1], ALPHABET[52:62][::-1] * 3])
+    return run * r.randint(1, 2)
+
+
 def labelled_samples(n: int = SAMPLES) -> list[tuple[str, int]]:
-    """n random strings (label 1) and n identifiers (label 0), the same on every run."""
-    out = []
-    alphabets = (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:36].replace(ALPHABET[26:36], "") + ALPHABET[52:62], ALPHABET[:6] + ALPHABET[52:62])
-    for i in range(n):
-        h = hashlib.shake_256(f"r{i}".encode()).digest(48)
-        a = alphabets[i % len(alphabets)]
-        out.append(("".join(a[b % len(a)] for b in h[: 20 + i % 28]), 1))
-        h = hashlib.shake_256(f"w{i}".encode()).digest(12)
-        w = [WORDS[(h[2 * j] * 256 + h[2 * j + 1]) % len(WORDS)] for j in range(3 + i % 4)]
-        style = i % 5
-        word = "_".join(w) if style == 0 else w[0] + "".join(x.title() for x in w[1:]) if style == 1 else "-".join(w) if style == 2 else "".join(w) if style == 3 else "/".join(x.title() for x in w)
-        out.append((word.upper() if i % 17 == 0 else f"{word}{h[11] % 10}" if i % 7 == 0 else word, 0))
-    return out
+    """n random strings (label 1) and n ordinary ones (label 0), the same on every run."""
+    r = random.Random(20240229)
+    return [(one, label) for k in range(n) for one, label in ((_random_string(r, k), 1), (_ordinary_string(r, k), 0))]
+
+
+def _kind(c: str) -> int:
+    """The class of a character of the alphabet: lower, upper, digit, a sign by itself, other."""
+    i = ALPHABET.find(c)
+    return 9 if i < 0 else 0 if i < 26 else 1 if i < 52 else 2 if i < 62 else i - 59
 
 
 @functools.cache
 def model(n: int = SAMPLES) -> tuple[int, ...]:
-    """Milli-nats by which a transition (from * SIDE + to) is likelier in random strings."""
-    counts = [[1] * (SIDE * SIDE) for _ in range(2)]
-    for s, label in labelled_samples(n):
-        ix = [ALPHABET.find(c) + 1 for c in s]
-        for a, b in zip(ix, ix[1:], strict=False):
-            counts[label][a * SIDE + b] += 1
-    rows = [[sum(c[a * SIDE : (a + 1) * SIDE]) for a in range(SIDE)] for c in counts]
-    return tuple(round(1000 * math.log(counts[1][k] / rows[1][k // SIDE] * rows[0][k // SIDE] / counts[0][k])) for k in range(SIDE * SIDE))
+    """Milli-nats by which a transition (from * SIDE + to) is likelier in random strings.
+
+    A transition's count is smoothed by that of its characters' classes, so that letters which no sample has side
+    by side are judged as letters.
+    """
+    kind = [9, *map(_kind, ALPHABET)]
+    members = [max(1, kind.count(k)) for k in range(10)]
+    logs = []
+    for label in (0, 1):
+        counts, pairs = [[0] * SIDE for _ in range(SIDE)], [[1] * 10 for _ in range(10)]
+        for s, y in labelled_samples(n):
+            if y == label:
+                ix = [ALPHABET.find(c) + 1 for c in s]
+                for a, b in zip(ix, ix[1:], strict=False):
+                    counts[a][b] += 1
+                    pairs[kind[a]][kind[b]] += 1
+        share = [[x / sum(row) / members[k] for k, x in enumerate(row)] for row in pairs]
+        logs.append([math.log((counts[a][b] + SMOOTH * share[kind[a]][kind[b]]) / (sum(counts[a]) + SMOOTH)) for a in range(SIDE) for b in range(SIDE)])
+    return tuple(round(1000 * (x - y)) for x, y in zip(logs[1], logs[0], strict=True))
 
 
 def ratio(s: str) -> int:
@@ -118,14 +168,28 @@ def scan(docs: DataFrame, carry: Column, text: str = "text") -> DataFrame:
         _located(F.col("m1"), 1, lambda h: F.lit(True)).alias("s1"),
         _located(F.col("m2"), 2, lambda h: F.lit(True)).alias("s2"),
         _located(F.col("m3"), 3, _random).alias("s3"),
+        _located(F.col("m3"), 3, lambda h: F.lit(True)).alias("c3"),
     )
-    c = b.select("doc", "text", F.sort_array(F.concat("s0", "s1", "s2")).alias("base"), "s3")
+    c = b.select("doc", "text", F.sort_array(F.concat("s0", "s1", "s2")).alias("base"), "s3", "c3")
     # Candidates that are base spans go by hash, so that only others are held against every base span.
     place = lambda spans: F.transform(spans, lambda x: F.call_function("shiftleft", x["start"].cast("bigint"), F.lit(32)) + x["end"])
-    others = F.transform(F.array_except(place("s3"), place("base")), lambda x: F.struct(F.call_function("shiftright", x, F.lit(32)).cast("int").alias("start"), F.lit(3).alias("kind"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("end")))
-    c = c.select("doc", "text", "base", others.alias("s3"))
-    free = F.filter("s3", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return c.select("doc", "text", "base", F.sort_array(F.concat("base", free)).alias("spans"))
+    meets = lambda x, y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+    others = lambda spans: F.transform(F.array_except(place(spans), place("base")), lambda x: F.struct(F.call_function("shiftright", x, F.lit(32)).cast("int").alias("start"), F.lit(3).alias("kind"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("end")))
+    bare = F.when(F.size("base") == 0, F.array().cast(SPAN))
+    c = c.select("doc", "text", "base", F.when(F.size("base") == 0, F.col("s3")).otherwise(others("s3")).alias("s3"), bare.otherwise(others("c3")).alias("c3"))
+    c = c.select("doc", "text", "base", F.filter("s3", lambda x: ~F.exists("base", lambda y: meets(x, y))).alias("free"), F.filter("c3", lambda x: F.exists("base", lambda y: meets(x, y))).alias("torn"))
+
+    def rests(x):
+        """What base spans leave of a candidate: up to each that meets it, and after the last."""
+        met = F.filter("base", lambda y: meets(x, y))
+        starts = F.concat(F.array(x["start"]), F.transform(met, lambda y: y["end"]))
+        ends = F.concat(F.transform(met, lambda y: y["start"]), F.array(x["end"]))
+        return F.transform(ends, lambda end, i: F.struct(F.array_max(F.slice(starts, F.lit(1), i + 1)).alias("start"), F.lit(3).alias("kind"), end.alias("end")))
+
+    long = lambda x: x["end"] - x["start"] >= LEAST_LENGTH
+    c = c.select("doc", "text", "base", "free", F.filter(F.flatten(F.transform("torn", rests)), long).alias("rests"))
+    left = F.filter("rests", lambda x: _random(F.substr(F.col("text"), x["start"] + 1, x["end"] - x["start"])))
+    return c.select("doc", "text", "base", F.sort_array(F.concat("base", "free", left)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -176,7 +240,12 @@ def _sql() -> str:
     return f"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
     base AS ({spans(ASSIGN, 0, f"length(regexp_extract(h, {q(ASSIGN)}, 2)) >= 6")} UNION ALL {spans(ACCESS, 1, "true")} UNION ALL {spans(HEX, 2, "true")}),
-    cand AS (SELECT * FROM ({spans(CANDIDATE, 3, "true")}) c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e)),
+    run AS ({spans(CANDIDATE, 3, "true")}),
+    torn AS (SELECT c.r, c.s AS cs, c.e AS ce, b.s, b.e FROM run c JOIN base b ON b.r = c.r AND b.s < c.e AND c.s < b.e),
+    rest AS (SELECT r, greatest(cs, coalesce(max(e) OVER (PARTITION BY r, cs ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), cs)) AS s, s AS e FROM torn
+             UNION ALL SELECT r, max(e), any_value(ce) FROM torn GROUP BY r, cs),
+    cand AS (SELECT * FROM run c WHERE NOT EXISTS (SELECT 1 FROM torn WHERE torn.r = c.r AND torn.cs = c.s)
+             UNION ALL SELECT r, 3, s, e, t[s + 1 : e] FROM rest JOIN d USING (r) WHERE e - s >= {LEAST_LENGTH}),
     model AS (SELECT CAST(string_split('{table}', ',') AS INT[]) AS m),
     scored AS (SELECT r, kind, s, e, length(h) AS n, list_sum(list_transform(range(1, length(h)), lambda i: m[{SIDE} * strpos('{ALPHABET}', h[i]) + strpos('{ALPHABET}', h[i + 1]) + 1])) AS llr FROM cand, model),
     every AS (SELECT r, kind, s, e FROM base UNION ALL SELECT r, kind, s, e FROM scored WHERE llr >= {LEAST_TOTAL} AND llr >= {LEAST_EACH} * (n - 1)),
