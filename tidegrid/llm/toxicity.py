@@ -3,12 +3,15 @@
 Method. Features are the different words, neighbouring pairs and pairs with one word between them of a
 text, hashed into 2**BITS places. FTRL-proximal keeps a learning rate for each place and sets
 weights whose evidence stays under L1 to exactly zero, so that what is sent to the executors is a short
-list. Training runs over SAMPLE documents of each label at most, EPOCHS times, as one stream through one
-task, which holds three arrays of 2**BITS numbers whatever the texts' sizes.
+list. Labelled texts become lists of places where they are read. Training runs over those of SAMPLE documents
+of each label at most, EPOCHS times, as one stream through one task, which holds three arrays of 2**BITS
+numbers whatever the texts' sizes.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case. Defined cases: null
 and empty texts get the score of the bias alone; without labelled rows all scores are 0.5; repeated
-rows are scored row by row; an empty table gives an empty result.
+rows are scored row by row, and of labelled rows with one key the text that sorts first is learned; texts are
+read whole, whatever their length, and need about twenty times their size; only key and text are read, so
+other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,22 +72,26 @@ class Ftrl:
 def train(labelled: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Places, weights and bias, from rows (order, label, _text)."""
 
-    def run(batches):
-        m = Ftrl()
+    def hashed(batches):
         for s in tk.slices(batches, "_text"):
-            label = s.rows.column(0).to_numpy()
             at, row = features(s)
             key = np.unique((row << BITS) | at)
             cut = np.searchsorted(key >> BITS, np.arange(len(s) + 1))
-            at = key & ((1 << BITS) - 1)
-            for i in range(len(s)):
-                m.learn(at[cut[i] : cut[i + 1]], int(label[i]))
+            at = (key & ((1 << BITS) - 1)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([s.rows.column(0), s.rows.column(1), pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["order", "label", "places"])
+
+    def run(batches):
+        m = Ftrl()
+        for batch in batches:
+            for label, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                m.learn(np.frombuffer(places.as_buffer(), np.uint32).astype(np.int64), label)
         at, w, bias = m.model()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, bias))], names=["place", "weight"])
 
-    every = labelled.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
+    every = labelled.select("order", "label", "_text").mapInArrow(hashed, "order bigint, label int, places binary")
+    every = every.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
     every = every.withColumn("turn", F.xxhash64("order", "epoch")).repartition(1).sortWithinPartitions("epoch", "turn")
-    rows = every.select("label", "_text").mapInArrow(run, "place bigint, weight double").collect()
+    rows = every.select("label", "places").mapInArrow(run, "place bigint, weight double").collect()
     got = dict((r[0], r[1]) for r in rows)
     bias = got.pop(-1, 0.0)
     at = np.array(sorted(got), np.int64)
