@@ -18,7 +18,9 @@ components of the verified links are the classes.
 
 Words are runs of other than blanks. Defined cases: a null text counts as empty; texts without words are
 copies of each other only if equal; a text of under SHINGLE words has one shingle, all of it;
-null and repeated keys are rows like others; an empty table gives an empty result.
+null and repeated keys are rows like others; texts are read whole, whatever their length, and need about twenty
+times their size; only key and text are read, and other columns pass unchanged where rows do; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ from tidegrid.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
-#: Least share of equal one-bit registers: 0.9 is expected at the similarity, 0.5 for unlike texts.
-LEAST_BITS = 0.79
+#: Least share of equal one-bit registers: 0.9 is expected at the similarity, 0.5 for unlike texts. Of 180 bits a
+#: pair at the similarity has fewer with a probability under 1e-8, far below that of sharing no bucket (1e-4).
+LEAST_BITS = 0.75
 SMALL, TILE = 64, 384
 #: Rows whose registers (3 kB each while they are filled) are held at once.
 SLICE_ROWS = 8_000
