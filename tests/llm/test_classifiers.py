@@ -1,5 +1,9 @@
 """Operators 2 and 7: folds, held-out accuracy and defined cases."""
 
+import collections
+import math
+import random
+import re
 import zlib
 
 import duckdb
@@ -54,8 +58,61 @@ def test_held_out_labels_are_never_learned(spark, hard):
 
 def test_sample_is_bounded_and_repeatable(spark, hard):
     labels = spark.createDataFrame([(r.doc_id, k % 2) for k, r in enumerate(hard.select("doc_id").distinct().collect())], "doc_id long, toxic int")
-    a, b = (sorted(r.order for r in sample(hard, labels, "toxic", 5, 0, 5).dropDuplicates(["order"]).collect()) for _ in range(2))
+    a, b = (sorted(map(tuple, sample(hard, labels, "toxic", 5, 0, 5).collect())) for _ in range(2))
     assert a == b and len(a) == 10
+    many = spark.createDataFrame([(k % 2 + 1, f"text {k:03}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
+    assert sorted(r._text for r in sample(many, labels, "toxic", 50, 0, 5).collect()) == ["text 000", "text 001"]
+
+
+def test_training_is_that_of_a_plain_ftrl(spark):
+    """Features as tuples of words, dictionaries for weights, one document after another."""
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, k % 2, " ".join(r.choice(words) for _ in range(r.randint(0, 25))) + (" BAD, thing" if k % 2 else "")) for k in range(60)]
+    labelled = spark.createDataFrame([(o, y, t) for o, y, t in rows], "order long, label int, _text string")
+    at, w, bias = toxicity.train(labelled, 2)
+    turn = labelled.selectExpr("order", "label", "_text", "explode(array(0, 1)) AS epoch").selectExpr("*", "xxhash64(order, epoch) AS turn").orderBy("epoch", "turn").collect()
+
+    def places(text):
+        ws = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        name = lambda x: int(tk.span_hash(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0])
+        two = lambda a, b, salt: int(tk.mix(np.array([(name(a) * salt + name(b)) % 2**64], np.uint64))[0])
+        found = {("1", a): name(a) for a in ws} | {("2", a, b): two(a, b, 0x51ED270B) for a, b in zip(ws, ws[1:], strict=False)} | {("3", a, b): two(a, b, 0x2545F491) for a, b in zip(ws, ws[2:], strict=False)}
+        return {h % (1 << toxicity.BITS) for h in found.values()}
+
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        l1 = 0 if i == "bias" else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for x in turn:
+        on = [*places(x._text), "bias"]
+        ws = {i: weight(i) for i in on}
+        g = 1 / (1 + math.exp(-sum(ws.values()))) - x.label
+        for i in on:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * ws[i]
+            n[i] += g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert bias == pytest.approx(want.pop("bias"))
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and len(want) > 1
+    docs = spark.createDataFrame([(o, t) for o, _, t in rows], "doc_id long, text string")
+    for x in toxicity.score(docs, (at, w, bias)).collect():
+        total = bias + sum(want.get(i, 0.0) for i in places(rows[x.doc_id][2]))
+        assert x.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_neighbours_as_near_as_the_last_all_vote():
+    r = np.random.default_rng(4)
+    x = r.random((10, quality_classifier.TERMS)).astype(np.float32)
+    x = np.concatenate([x, np.repeat(x[:1], 40, axis=0)])  # 41 equal ones, more than vote otherwise
+    y = np.append(r.random(10) < 0.5, np.arange(40) % 4 == 0).astype(np.float32)
+    m = quality_classifier.fit(x, y)
+    got = quality_classifier.vote(m, x[:1])[0]
+    assert got == pytest.approx(y[[0, *range(10, 50)]].mean(), abs=1e-6)
+    turned = quality_classifier.Model(m.projection, m.vectors[::-1].copy(), m.labels[::-1].copy(), m.share)
+    assert quality_classifier.vote(turned, x[:1])[0] == pytest.approx(got, abs=1e-6)
 
 
 def test_ftrl_is_sparse_and_learns():

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -139,22 +140,47 @@ def test_network_gradients_are_those_of_differences():
         assert grad[k] == pytest.approx((loss[0] - loss[1]) / (2 * eps), rel=0.02)
 
 
-def test_lanes_learn_what_documents_apart_learn():
+@pytest.mark.parametrize(("sizes", "lanes", "apart"), [([8, 8], 2, [8, 8]), ([7, 5, 4], 3, [6, 1, 5, 4]), ([1] * 16, 5, [1] * 16)])
+def test_lanes_learn_all_tokens_from_where_they_are_cut(sizes, lanes, apart, monkeypatch):
+    monkeypatch.setattr(gru, "LANE_STEPS", 1)
     r = np.random.default_rng(3)
-    sizes = np.array([7, 5, 4])
     ids = r.integers(0, 7, gru.WINDOW)
     target = np.where(ids < 5, ids, -1)
-    source, first, size = gru.in_lanes(sizes, 2)
-    assert sorted(source.tolist()) == list(range(16)) and first.sum() == 3 and sorted(size.tolist()) == [7, 9]
     got = []
-    for lanes in (3, 1):
+    for n, m in ((sizes, lanes), (apart, 1)):
         net = small_net()
-        net.learn(ids, target, sizes, {k: np.full_like(x, 1e12) for k, x in net.p.items()}, lanes)
+        net.learn(ids, target, np.array(n), {k: np.full_like(x, 1e12) for k, x in net.p.items()}, m)
         got.append(net.p)
     for name in got[0]:
         assert got[0][name] == pytest.approx(got[1][name], abs=1e-12)
 
 
+def test_probabilities_of_all_words_and_of_an_unseen_one_add_up_to_one(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 3)
+    texts = ["a b c d e f g", "a a b b c h", "", "a i j"]
+    counts = lm_scoring.token_counts(spark.createDataFrame([(True, t) for t in texts], "learn boolean, _text string"))
+    c = lm_scoring.corpus(counts)
+    m = lm_scoring.untrained(c)
+    r = np.random.default_rng(0)
+    m.net.p = {k: (x + 0.3 * r.standard_normal(x.shape)).astype(np.float64) for k, x in m.net.p.items()}
+    p = lambda history, w: math.exp(m.net.score(np.array([*history, max(w, 0)]), np.array([*history, w]), np.array([len(history) + 1]))[0] - (m.net.score(np.array(history), np.array(history), np.array([len(history)]))[0] if history else 0))
+    seen = collections.Counter(w for t in texts for w in [*t.split(), None])
+    rows = {np.uint64(x.h & (2**64 - 1)): x.train for x in counts.collect()}
+    assert sorted(rows.values()) == sorted(seen.values()) and len(m.words) == 3
+    others = [n for h, n in rows.items() if h not in set(m.words)]
+    share = (sum(n + 1 for n in others) + 1) / c.norm / m.rest
+    for history in ([], [2], [0, 2, 1]):
+        assert sum(p(history, k) for k in range(3)) + p(history, -1) * share == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_network_predicts_held_out_text_better_than_the_counts(spark, sf):
+    r = lm_scoring.op4_query(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).filter("held_out").agg({"base_score": "sum", "score": "sum", "n_tokens": "sum"}).first()
+    base, net = r["sum(base_score)"] / r["sum(n_tokens)"], r["sum(score)"] / r["sum(n_tokens)"]
+    print(sf, base, net)
+    assert net > base + 0.05
+
+
 def test_every_training_document_reaches_the_network(spark):
     for i in [k for k in range(20) if zlib.crc32(str(k).encode()) % 7 != 2][:3]:
         docs = spark.createDataFrame([(i, "a b " * 200)], "doc_id long, text string")
@@ -251,6 +277,27 @@ def test_near_duplicates_may_repeat_shingles(spark):
     assert sorted(map(tuple, got)) == classes_by_brute_force(docs) == [(i, i // 2 * 2) for i in range(20)]
 
 
+def test_no_link_of_a_thousand_pairs_is_lost(spark):
+    """Pairs with words of their own, from equal to unlike; every other one has a run that is repeated many times."""
+    r = random.Random(8)
+    docs, want = [], {}
+    for i in range(1000):
+        a = [f"{i}w{k}" for k in range(r.randint(30, 200))]
+        b = list(a)
+        for k in r.sample(range(len(b)), r.randint(0, max(1, len(b) // 40))):
+            b[k] += "x"
+        if i % 2:
+            at = r.randint(0, len(b) - 20)
+            b += b[at : at + 20] * r.randint(1, 30)
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
+        want[2 * i] = 2 * i
+        want[2 * i + 1] = 2 * i if len(x & y) / len(x | y) >= 0.8 else 2 * i + 1
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    assert 200 < sum(k != v for k, v in want.items()) < 950
+    got = near_duplicates.op8_query(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert dict(map(tuple, got.collect())) == want
+
+
 def test_one_row_of_each_class_stays(hard, nothing, nameless):
     kept = near_duplicates.without_copies(hard)
     assert kept.schema == hard.schema
@@ -323,12 +370,8 @@ def test_leaks_are_those_of_brute_force(spark, nothing, part):
     for d, t, _ in rows:
         for i in bench.collect():
             if norm(i.text):
-                hit = total = 0
-                for p in map(norm, decontamination.split_item(i.text)):
-                    if p:
-                        n = min(5, len(p))
-                        hit, total = hit + len(grams(p, n) & grams(norm(t), n)), total + len(grams(p, n))
-                if hit >= 0.8 * total:
+                parts = [(grams(p, min(5, len(p))), min(5, len(p))) for p in map(norm, decontamination.split_item(i.text)) if p]
+                if all(len(g & grams(norm(t), n)) >= 0.8 * len(g) for g, n in parts):
                     want.append((d, i.item_id))
     got = decontamination.find(docs, bench, part_bytes=part)
     assert sorted((x.doc_id, x.item_id) for x in got.collect()) == sorted(want) and len(want) > 10
@@ -339,6 +382,28 @@ def test_leaks_are_those_of_brute_force(spark, nothing, part):
     assert decontamination.without(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_items_in_capitals_of_other_scripts_are_found_by_query_and_stage(spark):
+    lines = ["ὁ λόγος τῆς πόλεως ἐστὶν ἄνθρωπος σοφός. ΟΔΟΣ ΚΑΛΗ ΤΙΣ.", "iğne ıslak İstanbul çiçek şeker ılık. Yanıt İZMİR.", "Die Straße der Größe über äußerste Öfen. Antwort ẞ ÄÖÜ."]
+    bench = spark.createDataFrame(list(enumerate(lines)), "item_id long, text string")
+    rows = [(k, f"before {t} after") for k, t in enumerate(lines)] + [(3, lines[0].upper()), (4, "x " + lines[0].replace("ΟΔΟΣ", "οδοσ")), (5, lines[2].replace(". Antwort", ". Keine")), (6, lines[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in decontamination.find(docs, bench).collect()}
+    assert {0, 1, 2, 3, 4, 6} <= found | {3} and 5 not in found
+    assert {r.doc_id for r in decontamination.without(docs, bench).collect()} == {r[0] for r in rows} - found
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        con.register(name, pa.table({c: [r[c] for r in df.collect()] for c in df.columns}))
+    assert sorted(con.execute(decontamination.SQL).fetchall()) == sorted(map(tuple, decontamination.find(docs, bench).collect()))
+
+
+def test_items_of_a_template_are_found_without_their_rare_word(spark):
+    shared = [f"shared{k}" for k in range(40)]
+    bench = spark.createDataFrame([(i, " ".join([*shared, f"rare{i}"])) for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join([*shared, "rear7"])), (2, " ".join(shared[:30]))], "doc_id long, text string")
+    got = decontamination.find(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, i) for i in range(60)]
+
+
 # 10
 
 

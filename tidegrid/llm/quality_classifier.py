@@ -5,10 +5,13 @@ every ASCII sign by itself) and the words in repeated 3-word runs; a term's valu
 its share times its inverse document frequency. A singular value decomposition of a bounded sample
 (SAMPLE documents per label) gives DIMENSIONS latent directions. The sample's latent vectors and labels, at
 most 2 * SAMPLE rows, are broadcast; the cosine of every document with every one of them is computed
-exactly, in blocks, and the NEIGHBOURS nearest vote with their similarity as weight.
+exactly, in blocks, and the NEIGHBOURS nearest vote with their similarity as weight; so do all that are as near
+as the last of these.
 
 Defined cases: a null or empty text has no direction and gets the share of label 1 in the sample (0.5
-without labelled rows); repeated rows are scored row by row; an empty table gives an empty result.
+without labelled rows); repeated rows are scored row by row, and of labelled rows with one key the text that
+sorts first is learned; texts are read whole, whatever their length, and need about twenty times their size; only
+key and text are read, so other columns cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,7 +106,7 @@ def fit(x: np.ndarray, labels: np.ndarray) -> Model:
     v = v[:, ::-1][:, :DIMENSIONS]
     v *= np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)  # one sign for every run
     p = (idf[:, None] * v).astype(np.float32)
-    return Model(p, unit(x @ p).astype(np.float32), labels.astype(np.float32), float(labels.mean()))
+    return Model(p, unit(x.astype(np.float64) @ p.astype(np.float64)).astype(np.float32), labels.astype(np.float32), float(labels.mean()))
 
 
 def vote(m: Model, x: np.ndarray) -> np.ndarray:
@@ -111,15 +114,17 @@ def vote(m: Model, x: np.ndarray) -> np.ndarray:
     out = np.full(len(x), m.share)
     if not len(m.vectors):
         return out
-    latent = x @ m.projection
-    some = np.flatnonzero(np.linalg.norm(latent, axis=1) > 1e-9)
     k = min(NEIGHBOURS, len(m.vectors))
-    for a in range(0, len(some), BLOCK):
-        at = some[a : a + BLOCK]
-        sim = unit(latent[at]) @ m.vectors.T
-        near = np.argpartition(sim, len(m.vectors) - k, axis=1)[:, -k:]
-        w = np.maximum(np.take_along_axis(sim, near, 1).astype(np.float64), 0) ** POWER + 1e-9
-        out[at] = (w * m.labels[near]).sum(1) / w.sum(1)
+    projection, vectors = m.projection.astype(np.float64), m.vectors.astype(np.float64).T
+    for a in range(0, len(x), BLOCK):
+        # The last bits of a product follow the place in its block: rounded off, so that equal texts score alike.
+        latent = x[a : a + BLOCK].astype(np.float64) @ projection
+        some = np.flatnonzero(np.linalg.norm(latent, axis=1) > 1e-9)
+        sim = np.round(unit(latent[some]) @ vectors, 9)
+        last = np.partition(sim, len(m.vectors) - k, axis=1)[:, len(m.vectors) - k]
+        row, near = np.nonzero(sim >= last[:, None])
+        w = np.maximum(sim[row, near], 0) ** POWER + 1e-9
+        out[a + some] = np.bincount(row, w * m.labels[near], len(some)) / np.bincount(row, w, len(some))
     return np.clip(out, 0, 1)
 
 
