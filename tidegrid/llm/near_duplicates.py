@@ -286,6 +286,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     wide = materialize(wide, "small-buckets")
     pairs = wide.alias("x").join(wide.alias("y"), apart).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     more.append(texts.verified(pairs))
+    links = cc.filter(F.col("node") != F.col("component")).toDF("a", "b")  # what the first links join, as stars: few rounds are left
     for found in more:
         links = links.unionByName(found)
     cc = materialize(connected_components(links, "a", "b"), "components")
